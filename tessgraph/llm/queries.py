@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, packing, secrets
+from . import bpe, jaccard, packing, quality_classifier, quality_rules, secrets
 from .common import table
 
 
@@ -18,9 +18,17 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_packing, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secret_scan, op3_packing, op4_quality_classifier, op5_quality_rules, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
