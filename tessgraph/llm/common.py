@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python step holds in expanded form at once.
 SLICE_CHARS = 1 << 20
+#: Bits of the bitmaps that tell scorers which keys may matter.
+BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def inside(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys & np.uint64(BITS - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (keys != 0)
+
+
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size, built from distinct positions (at most BITS of them, 2 MB packed)."""
+    out = np.zeros(BITS // 8, np.uint8)
+    at = f"({column} & {BITS - 1})"
+    rows = keys.select(F.expr(f"shiftright({at}, 3) AS byte"), F.expr(f"shiftleft(1, int({at} & 7)) AS bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node reachable. Large-star and small-star rounds until nothing changes.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, components, hash_words, mix, text_slices, word_arrays
+from .common import batch_of, bitmap_of, checkpoint, components, hash_words, inside, mix, text_slices, word_arrays
 
 #: Buckets of the count sketch that orders shingles by rarity: the size of what is broadcast.
 SKETCH = 1 << 18
@@ -78,8 +78,10 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def sets(docs: DataFrame, width: int, percent: int, order=None) -> DataFrame:
-    """doc_id, n, cid (class of equal sets), keys: the whole set, or with order its rarest keys, rarest first."""
+def sets(docs: DataFrame, width: int, percent: int, order=None, only=None) -> DataFrame:
+    """doc_id, n, cid (class of equal sets), keys: the whole set, or with order its rarest keys, rarest first.
+
+    only: a bitmap of classes; the others are left out. Within a slice equal classes are then sent once."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +95,14 @@ def sets(docs: DataFrame, width: int, percent: int, order=None) -> DataFrame:
                         o = np.lexsort((k, rank[(k & np.uint64(SKETCH - 1)).astype(np.int64)]))
                         k = k[o[: len(k) - needed(len(k), percent) + 1]]
                     keys.append(k.view(np.int64))
-                yield batch_of(schema, [part.column("doc_id"), [len(k) for k in found], [class_key(k) for k in found], keys])
+                cids = np.array([class_key(k) for k in found], np.int64)
+                columns = [part.column("doc_id"), [len(k) for k in found], cids, keys]
+                out = batch_of(schema, columns)
+                if only is not None:
+                    first = np.zeros(len(cids), bool)
+                    first[np.unique(cids, return_index=True)[1]] = True
+                    out = out.filter(pa.array(first & inside(only.value, cids.view(np.uint64))))
+                yield out
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, keys array<long>")
 
@@ -110,17 +119,18 @@ def links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(rarity(docs, width))
-    some = sets(docs, width, percent, order)
-    classes = checkpoint(some.where("n > 0").groupBy("cid", "n").agg(F.first("keys").alias("keys")))
+    some = checkpoint(sets(docs, width, percent, order))
+    classes = some.where("n > 0").groupBy("cid", "n").agg(F.first("keys").alias("keys"))
     posted = classes.select("cid", "n", F.posexplode("keys").alias("pos", "key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     live = checkpoint(posted.join(shared, "key").select("key", "cid", "n", "pos"))
-    members = sets(docs, width, percent).select("doc_id", "n", "cid")
+    members = some.select("doc_id", "n", "cid")
     found = live.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     if live.isEmpty():
         return members, components(found)
-    ids = live.select("cid").distinct()
-    whole = checkpoint(sets(docs, width, percent).select("cid", "keys").join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("keys").alias("keys")))
+    # whole sets are sent only for classes that may be compared: a bitmap of fixed size keeps the others at home
+    maybe = spark.sparkContext.broadcast(bitmap_of(live, "cid"))
+    whole = checkpoint(sets(docs, width, percent, only=maybe).select("cid", "keys").dropDuplicates(["cid"]))
     size = live.count()
     labelled = live.withColumn("c", F.col("cid"))
     before = None

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, hash_words, mix, text_slices, word_arrays
+from .common import batch_of, bitmap_of, checkpoint, hash_words, inside, mix, text_slices, word_arrays
 
 DEPTH, ALPHA = 2, 2.0
-HOT, BITS = 1 << 17, 1 << 24
+HOT = 1 << 17
 END = np.uint64(0x5EED)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,20 +55,6 @@ def contexts(tokens: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def inside(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys & np.uint64(BITS - 1)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (keys != 0)
-
-
-def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size, built from distinct positions (at most BITS of them, 2 MB packed)."""
-    out = np.zeros(BITS // 8, np.uint8)
-    at = f"({column} & {BITS - 1})"
-    rows = keys.select(F.expr(f"shiftright({at}, 3) AS byte"), F.expr(f"shiftleft(1, int({at} & 7)) AS bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
-    return out
-
-
 def grams(docs: DataFrame, depth: int, bitmaps: list, folds: int, fold: int) -> DataFrame:
     """ctx, suf, sym, n: counts of training tokens after contexts of this depth whose suffix is retained."""
 
