@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessgraph.plans.catalog import ORACLE_SQL, QUERIES
+from tessgraph.plans.catalog_models import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
