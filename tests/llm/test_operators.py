@@ -112,6 +112,19 @@ def test_quality(spark, docs, none):
         assert op.keep_rows(docs, labels.limit(0)).columns == docs.columns
 
 
+def spoken(n, vocab, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(rng.choice(vocab, 120)) for _ in range(n)]
+
+
+def test_classifier_limit_has_no_margin(spark):
+    texts = spoken(300, [f"wo{i}rd" for i in range(50)], 0)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = quality_classifier.judge(docs, spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")).collect()
+    top = max(r.log_perplexity for r in rows)
+    assert all(r.log_limit - quality_classifier.SHORT / len(texts[r.doc_id].encode()) ** 0.5 <= top + 0.05 for r in rows)
+
+
 def test_scores_never_rise_against_their_constraint():
     rng = np.random.default_rng(1)
     x = rng.random((400, len(quality_rules.FEATURES)))
