@@ -125,6 +125,14 @@ def test_classifier_limit_has_no_margin(spark):
     assert all(r.log_limit - quality_classifier.SHORT / len(texts[r.doc_id].encode()) ** 0.5 <= top + 0.05 for r in rows)
 
 
+@pytest.mark.parametrize(("bound", "many"), [(4000, 120), (60, 600)])
+def test_classifier_limits_are_each_languages_own(spark, bound, many):
+    texts = spoken(many, [f"wo{i}rd{i * i}" for i in range(400)], 1) + spoken(30, ["la", "le", "li", "lo"], 2)
+    docs = spark.createDataFrame([(i, t, "en" if i < many else "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = quality_classifier.learn(docs, spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, quality int"), bound)
+    assert set(model[1]) == {"en", "fr"} and model[1]["fr"] < model[1]["en"] - 0.1
+
+
 def test_scores_never_rise_against_their_constraint():
     rng = np.random.default_rng(1)
     x = rng.random((400, len(quality_rules.FEATURES)))
