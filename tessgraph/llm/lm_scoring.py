@@ -3,7 +3,7 @@
 Contexts grow from the empty one: a context is counted only if the context it extends is retained, and
 retained if a leave-one-out divergence test says that its next-symbol distribution predicts better than
 that of its suffix. Distributions are smoothed by their suffix's: p(w|s) = (c(s,w) + ALPHA p(w|suffix)) /
-(c(s) + ALPHA). A token is scored by the longest retained suffix of what precedes it.
+(c(s) + ALPHA). No length is set: growing ends when the test retains nothing. A token is scored by the longest retained suffix of what precedes it.
 
 The tree grows with the corpus and stays distributed. Scorers get two vectors of fixed size: the HOT
 most frequent tokens and a bitmap of retained contexts (false positives only cost a join). Tokens these
@@ -16,8 +16,10 @@ remainder is that of the empty string. Extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, bitmap_of, checkpoint, hash_words, inside, mix, text_slices, word_arrays
 
-DEPTH, ALPHA = 2, 2.0
+ALPHA = 2.0
 HOT = 1 << 17
 END = np.uint64(0x5EED)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,16 +45,41 @@ def token_keys(texts: list[str]) -> list[np.ndarray]:
     return [np.append(keys[e - n : e], END) for e, n in zip(ends, counts, strict=True)]
 
 
-def contexts(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Keys of the contexts of exactly depth tokens before each token; 0 where the text has fewer."""
-    out = np.zeros(len(tokens), np.uint64)
-    if depth and len(tokens) > depth:
-        h = np.full(len(tokens) - depth, np.uint64(depth))
+class Packed:
+    """A broadcast bitmap, sent and stored compressed: most levels set few bits. value is unpacked once a task."""
+
+    def __init__(self, sc, bitmap: np.ndarray):
+        self.sent, self.open = sc.broadcast(zlib.compress(bitmap.tobytes(), 1)), None
+
+    def __reduce__(self):
+        return _packed, (self.sent,)
+
+    @property
+    def value(self) -> np.ndarray:
+        if self.open is None:
+            self.open = np.frombuffer(zlib.decompress(self.sent.value), np.uint8)
+        return self.open
+
+
+def _packed(sent) -> Packed:
+    one = Packed.__new__(Packed)
+    one.sent, one.open = sent, None
+    return one
+
+
+def chain(tokens: np.ndarray, bitmaps: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """depth, positions, keys of their contexts of that depth and of the suffixes of these, level by level.
+
+    A position goes on while it has tokens before it and all shorter contexts are in their bitmaps; bitmaps[0] is unused."""
+    at, h = np.arange(1, len(tokens)), np.zeros(max(len(tokens) - 1, 0), np.uint64)
+    for d in range(1, len(bitmaps) + 1):
+        if d > 1:
+            ok = inside(bitmaps[d - 1].value, h) & (at >= d)
+            at, h = at[ok], h[ok]
+        suf = h
         with np.errstate(over="ignore"):
-            for k in range(1, depth + 1):
-                h = mix(h * GOLD + tokens[depth - k : len(tokens) - k])
-        out[depth:] = h
-    return out
+            h = mix((h + np.uint64(1)) * GOLD + tokens[at - d])
+        yield d, at, h, suf
 
 
 def grams(docs: DataFrame, depth: int, bitmaps: list, folds: int, fold: int) -> DataFrame:
@@ -64,87 +91,116 @@ def grams(docs: DataFrame, depth: int, bitmaps: list, folds: int, fold: int) ->
                 train = [t for t, d in zip(texts, part.column("doc_id").to_pylist(), strict=True) if not held_out(d, folds, fold)]
                 rows = []
                 for tokens in token_keys(train):
-                    c, s = contexts(tokens, depth), contexts(tokens, depth - 1) if depth else np.zeros(len(tokens), np.uint64)
-                    ok = np.ones(len(tokens), bool) if depth == 0 else c != 0
-                    if depth > 1:
-                        ok &= inside(bitmaps[depth - 1].value, s)
-                    rows.append(np.stack([c[ok], s[ok], tokens[ok]], 1))
+                    at, c = np.arange(len(tokens)), np.zeros(len(tokens), np.uint64)
+                    s = c
+                    if depth:
+                        *_, (_, at, c, s) = chain(tokens, bitmaps)
+                    rows.append(np.stack([c, s, tokens[at]], 1))
                 flat, n = np.unique(np.concatenate([np.zeros((0, 3), np.uint64), *rows]), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(flat[:, k].copy().view(np.int64)) for k in range(3)), pa.array(n)], names=["ctx", "suf", "sym", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "ctx long, suf long, sym long, n long").groupBy("ctx", "suf", "sym").agg(F.sum("n").alias("n"))
 
 
-def grow(docs: DataFrame, folds: int, fold: int, depth: int = DEPTH):
-    """(seen: level, ctx, sym, n, p; states: level, ctx, back; bitmaps; N; V)"""
+def grow(docs: DataFrame, folds: int, fold: int):
+    """(seen: level, ctx, sym, n, p; states: level, ctx, back; bitmaps; N; V). Ends at the level that retains nothing."""
     sc = docs.sparkSession.sparkContext
     uni = checkpoint(grams(docs, 0, [], folds, fold))
     total, distinct = uni.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    seen = uni.select(F.lit(0).alias("level"), "ctx", "sym", "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p"))
-    states, bitmaps, last = None, [None], seen
-    for d in range(1, depth + 1):
+    last = uni.select(F.lit(0).alias("level"), "ctx", "sym", "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p"))
+    levels, states, bitmaps = [last], [], [None]
+    while True:
+        d = len(bitmaps)
         counted = checkpoint(grams(docs, d, bitmaps, folds, fold))
         below = last.select(F.col("ctx").alias("suf"), "sym", F.col("p").alias("q"))
-        sums = counted.groupBy("ctx").agg(F.sum("n").alias("c"))
+        sums = counted.groupBy("ctx").agg(F.sum("n").alias("c")).where("c > 1")  # a context seen once is never retained
         rows = counted.join(below, ["suf", "sym"]).join(sums, "ctx")  # an inner join: false positives of the bitmap end here
         loo = F.expr(f"n * ln(((n - 1) + {ALPHA} * q) / ((c - 1) + {ALPHA}) / q)")
-        kept = checkpoint(rows.where("c > 1").groupBy("ctx").agg(F.sum(loo).alias("gain"), F.first("c").alias("c")).where("gain > 0").select("ctx", F.log(F.lit(ALPHA) / (F.col("c") + ALPHA)).alias("back")))
+        kept = checkpoint(rows.groupBy("ctx").agg(F.sum(loo).alias("gain"), F.first("c").alias("c")).where("gain > 0").select("ctx", F.log(F.lit(ALPHA) / (F.col("c") + ALPHA)).alias("back")))
+        if kept.isEmpty():
+            break
         last = checkpoint(rows.join(kept.select("ctx"), "ctx", "left_semi").select(F.lit(d).alias("level"), "ctx", "sym", "n", F.expr(f"(n + {ALPHA} * q) / (c + {ALPHA})").alias("p")))
-        seen = seen.unionByName(last)
-        level = kept.select(F.lit(d).alias("level"), "ctx", "back")
-        states = level if states is None else states.unionByName(level)
-        bitmaps.append(sc.broadcast(bitmap_of(kept, "ctx")))
-    return seen, states, bitmaps, int(total), int(distinct)
+        levels.append(last)
+        states.append(kept.select(F.lit(d).alias("level"), "ctx", "back"))
+        bitmaps.append(Packed(sc, bitmap_of(kept, "ctx")))
+    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    return union(levels), union(states) if states else None, bitmaps, int(total), int(distinct)
 
 
-def scores(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     docs = docs.select("doc_id", "text")
-    seen, states, bitmaps, total, distinct = grow(docs, folds, fold, depth)
+    seen, states, bitmaps, total, distinct = grow(docs, folds, fold)
     hot = seen.where("level = 0").orderBy(F.desc("n"), "sym").limit(HOT).select("sym", "n").toArrow()  # HOT rows at most
     o = np.argsort(hot.column("sym").to_numpy().view(np.uint64))
-    table = docs.sparkSession.sparkContext.broadcast((hot.column("sym").to_numpy().view(np.uint64)[o], hot.column("n").to_numpy()[o]))
+    sc = docs.sparkSession.sparkContext
+    table = sc.broadcast((hot.column("sym").to_numpy().view(np.uint64)[o], hot.column("n").to_numpy()[o]))
     room = float(total + distinct + 1)
-    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64()), ("open", pa.list_(pa.struct([("pos", pa.int32()), ("sym", pa.int64()), ("ctx", pa.list_(pa.int64()))])))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        syms, counts = table.value
-        for batch in batches:
-            for part, texts in text_slices(batch):
-                rows = []
-                for doc, text, tokens in zip(part.column("doc_id").to_pylist(), texts, token_keys(texts), strict=True):
-                    at = np.minimum(np.searchsorted(syms, tokens), max(len(syms) - 1, 0))
-                    known = syms[at] == tokens if len(syms) else np.zeros(len(tokens), bool)
-                    lp = np.log((counts[at[known]] + 1) / room)
-                    ctx, chain, maybe = [], np.ones(len(tokens), bool), np.zeros(len(tokens), bool)
-                    for d in range(1, depth + 1):
-                        c = contexts(tokens, d)
-                        chain &= inside(bitmaps[d].value, c)
-                        maybe |= chain
-                        ctx.append(np.where(chain, c, np.uint64(0)).view(np.int64))
-                    full = np.zeros(len(tokens))
-                    full[known] = lp
-                    todo = np.flatnonzero(~known | maybe)
-                    opened = [{"pos": int(i), "sym": int(tokens[i : i + 1].view(np.int64)[0]), "ctx": [0, *(int(c[i]) for c in ctx)]} for i in todo]
-                    rows.append((f"{doc}:{zlib.crc32(text.encode('utf-8', 'surrogatepass'))}:{len(text)}:{hash_words(pa.array([text.encode('utf-8', 'surrogatepass')], pa.binary()))[0]}", doc, held_out(doc, folds, fold), len(tokens), int(known[~(~known | maybe)].sum()), float(full[known & ~maybe].sum()), float(full[known & ~maybe].sum()), opened))
-                yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
-
-    ddl = "row string, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, open array<struct<pos:int,sym:long,ctx:array<long>>>"
-    done = docs.mapInArrow(run, ddl)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64()), ("open", pa.list_(pa.struct([("id", pa.int64()), ("level", pa.int32()), ("ctx", pa.int64()), ("sym", pa.int64()), ("own", pa.bool_())])))])
+
+    def scorer(only=None):
+        """open: what must be joined, the longest context of each token; with only, all contexts of the tokens in that bitmap."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            syms, counts = table.value
+            for batch in batches:
+                for part, texts in text_slices(batch):
+                    names = [f"{d}:{len(t)}:{t}".encode("utf-8", "surrogatepass") for d, t in zip(part.column("doc_id").to_pylist(), texts, strict=True)]
+                    keys = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in names], np.uint64)
+                    fixed, sizes, opened = [], [], []
+                    for doc, key, tokens in zip(part.column("doc_id").to_pylist(), keys, token_keys(texts), strict=True):
+                        at = np.minimum(np.searchsorted(syms, tokens), max(len(syms) - 1, 0))
+                        known = syms[at] == tokens if len(syms) else np.zeros(len(tokens), bool)
+                        lp = np.zeros(len(tokens))
+                        lp[known] = np.log((counts[at[known]] + 1) / room)
+                        level, ctx = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.uint64)
+                        with np.errstate(over="ignore"):
+                            ids = mix(np.arange(1, len(tokens) + 1, dtype=np.uint64) * GOLD + key)
+                        want = inside(only.value, ids) if only is not None else None
+                        rows = [] if only is None else [(np.flatnonzero(want), 0, np.zeros(int(want.sum()), np.uint64))]
+                        for d, pos, c, _ in chain(tokens, bitmaps) if len(bitmaps) > 1 else ():
+                            if d == len(bitmaps):
+                                break
+                            ok = inside(bitmaps[d].value, c)
+                            level[pos[ok]], ctx[pos[ok]] = d, c[ok]
+                            if only is not None:
+                                ok &= want[pos]
+                                rows.append((pos[ok], d, c[ok]))
+                        if only is None:
+                            cold, deep = np.flatnonzero(~known), np.flatnonzero(level)
+                            pos, lev, con = np.concatenate([cold, deep]), np.concatenate([0 * cold, level[deep]]), np.concatenate([0 * ctx[cold], ctx[deep]])
+                            own = np.concatenate([level[cold] == 0, np.ones(len(deep), bool)])
+                        else:
+                            pos, con = (np.concatenate([r[k] for r in rows]) for k in (0, 2))
+                            lev, own = np.concatenate([np.full(len(r[0]), r[1]) for r in rows]), np.ones(len(pos), bool)
+                        sizes.append(len(pos))
+                        opened.append((ids[pos].view(np.int64), lev, con.view(np.int64), tokens[pos].view(np.int64), own))
+                        fixed.append((int(key.astype(np.int64)), doc, held_out(doc, folds, fold), len(tokens), int(known.sum()), float(lp.sum()), float(lp[level == 0].sum())))
+                    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*opened, strict=True), schema.field("open").type.value_type, strict=True)], fields=list(schema.field("open").type.value_type))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+                    yield batch_of(schema, [*(list(c) for c in zip(*fixed, strict=True)), lists])
+
+        return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, open array<struct<id:long,level:int,ctx:long,sym:long,own:boolean>>")
+
+    done = scorer()
     # equal rows are scored once; the short row key is enough, no text is shuffled
-    asked = done.select(F.xxhash64("row").alias("row"), F.explode("open").alias("o")).select("row", "o.pos", "o.sym", F.posexplode("o.ctx").alias("level", "ctx")).where("level = 0 or ctx <> 0")
-    asked = asked.groupBy("level", "ctx", "sym", "row", "pos").agg(F.lit(1).alias("one"))
-    hit = asked.join(seen.select("level", "ctx", "sym", "n", "p"), ["level", "ctx", "sym"], "left")
-    if states is not None:
-        hit = hit.join(states, ["level", "ctx"], "left")
-    per = hit.groupBy("row", "pos").agg(
-        F.max(F.when(F.col("level") == 0, F.coalesce("n", F.lit(0)))).alias("c"),
-        F.max(F.struct(F.when(F.col("p").isNotNull() | (F.col("level") == 0), F.col("level")).otherwise(-1).alias("level"), F.log(F.coalesce("p", F.lit(1 / room))).alias("lp"))).alias("best"),
-        F.collect_list(F.struct("level", F.coalesce("back", F.lit(0.0)).alias("back"))).alias("backs"))
-    lost = F.aggregate(F.filter("backs", lambda b: b["level"] > F.col("best.level")), F.lit(0.0), lambda a, b: a + b["back"])
-    extra = per.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("k"), F.sum(F.log((F.col("c") + 1) / room)).alias("b"), F.sum(F.col("best.lp") + lost).alias("s"))
+    asked = lambda df: df.select("row", F.explode("open").alias("o")).select("row", "o.*").groupBy("level", "ctx", "sym", "row", "id").agg(F.first("own").alias("own"))
+    hit = checkpoint(asked(done).join(seen, ["level", "ctx", "sym"], "left").select("row", "id", "level", "own", "n", "p"))
+    first = F.col("level") == 0
+    extra = hit.groupBy("row").agg(
+        F.sum(F.when(first & (F.col("n") > 0), 1).otherwise(0)).alias("k"), F.sum(F.when(first, F.log((F.coalesce("n", F.lit(0)) + 1) / room)).otherwise(0.0)).alias("b"),
+        F.sum(F.when(F.col("own") & (first | F.col("p").isNotNull()), F.log(F.coalesce("p", F.lit(1 / room)))).otherwise(0.0)).alias("s"))
+    # tokens not seen after their longest context (or taken for one by a bitmap) go back through all of them
+    missed = hit.where("level > 0 and p is null").select("row", "id")
+    if states is not None and not missed.isEmpty():
+        back = asked(scorer(sc.broadcast(bitmap_of(missed, "id")))).join(missed, ["row", "id"], "left_semi")
+        per = back.join(seen, ["level", "ctx", "sym"], "left").join(states, ["level", "ctx"], "left").groupBy("row", "id").agg(
+            F.max(F.struct(F.when(F.col("p").isNotNull() | (F.col("level") == 0), F.col("level")).otherwise(-1).alias("level"), F.log(F.coalesce("p", F.lit(1 / room))).alias("lp"))).alias("best"),
+            F.collect_list(F.struct("level", F.coalesce("back", F.lit(0.0)).alias("back"))).alias("backs"))
+        lost = F.aggregate(F.filter("backs", lambda b: b["level"] > F.col("best.level")), F.lit(0.0), lambda a, b: a + b["back"])
+        late = per.groupBy("row").agg(F.sum(F.col("best.lp") + lost).alias("late"))
+        extra = extra.join(late, "row", "left").withColumn("s", F.col("s") + F.coalesce("late", F.lit(0.0)))
     ten = float(np.log(10))
-    slim = done.drop("open").withColumn("row", F.xxhash64("row"))
-    return slim.join(extra, "row", "left").select(
+    return done.drop("open").join(extra, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         ((F.col("base") + F.coalesce("b", F.lit(0.0))) / ten).alias("base_score"), ((F.col("own") + F.coalesce("s", F.lit(0.0))) / ten).alias("score"))

@@ -181,6 +181,44 @@ def test_lm_scores(docs, none):
     assert lm_scoring.scores(none).count() == 0
 
 
+def test_lm_contexts_grow_until_none_is_retained(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"q{x}" for x in rng.integers(0, 90, 40)) for _ in range(12)]
+    texts = [*texts, *(" ".join(t.split()[5:14]) for t in texts[:5]), "q1 q1 q1 q1 new q1"]
+    toks = [[*t.split(), None] for t in texts]
+    train = [t for d, t in enumerate(toks) if zlib.crc32(str(d).encode()) % 7 != 2]
+    uni = Counter(w for t in train for w in t)
+    room, a = sum(uni.values()) + len(uni) + 1, lm_scoring.ALPHA
+    tree, d = {(): (None, {w: (n + 1) / room for w, n in uni.items()})}, 0
+    while any(len(s) == d for s in tree):
+        d += 1
+        seen = {}
+        for t in train:
+            for i in range(d, len(t)):
+                if tuple(t[i - d + 1 : i]) in tree:
+                    seen.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+        for s, ws in seen.items():
+            c, q = sum(ws.values()), tree[s[1:]][1]
+            if c > 1 and sum(n * math.log(((n - 1) + a * q[w]) / (c - 1 + a) / q[w]) for w, n in ws.items()) > 0:
+                tree[s] = (math.log(a / (c + a)), {w: (n + a * q[w]) / (c + a) for w, n in ws.items()})
+    assert d > 4
+
+    def score(t):
+        out = 0.0
+        for i, w in enumerate(t):
+            k = 0
+            while k < i and tuple(t[i - k - 1 : i]) in tree:
+                k += 1
+            while k and w not in tree[tuple(t[i - k : i])][1]:
+                out += tree[tuple(t[i - k : i])][0]
+                k -= 1
+            out += math.log(tree[tuple(t[i - k : i])][1].get(w, 1 / room))
+        return out / math.log(10)
+
+    for r in lm_scoring.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.score == pytest.approx(score(toks[r.doc_id]), abs=1e-6)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class='ad'>Buy this.</div><article><h1>Head &amp; line</h1><p>One  two\n<b>three</b>.<br><p>Four.</article><div class=comments><p>Nice</div><footer>&copy; me</footer></body>"
     df = spark.createDataFrame([(1, "u", page), (2, "v", None), (2, "v", "")], "page_id long, url string, html string")
