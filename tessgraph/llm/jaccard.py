@@ -4,9 +4,9 @@ Every text becomes its set of distinct word shingles (64-bit keys). Equal sets f
 joined once. Index lists hold the rarest shingles of each class (prefix filter; rarity by a fixed-size
 count sketch, any order gives the same links). Lists are cut into blocks by set size, and only blocks
 whose sizes can meet the threshold are opened; positions bound the overlap that is still possible.
-Answers are derived from a similar set's answers: in each list one pivot set is compared with all
-others first. Sets linked with the same pivot are connected, so no pair among them is opened again;
-only pairs between different components remain.
+In each list one pivot set is compared with all others first. Sets linked with the same pivot are
+connected, and groups() opens only pairs between different components: its component_id needs no more.
+answers() gives every link. It derives the links inside a component from the sets' overlaps with its root.
 
 Null or blank text: empty set, linked with nothing, its own component. Null doc_id: linked with
 nothing, null component. Repeated rows and ids: one output row per input row. Extra columns are
@@ -114,8 +114,10 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("ka") + F.size("kb") - both)).select("a", "b")
 
 
-def links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n, cid; components: node, root) with nodes and roots being classes of equal sets."""
+def connected(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(members: doc_id, n, cid; components: node, root; live: key, cid, n, pos; whole: cid, keys) over classes of equal sets.
+
+    live are the index lists of more than one class; whole is None if there are none."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(rarity(docs, width))
@@ -127,7 +129,7 @@ def links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame
     members = some.select("doc_id", "n", "cid")
     found = live.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     if live.isEmpty():
-        return members, components(found)
+        return members, components(found), live, None
     # whole sets are sent only for classes that may be compared: a bitmap of fixed size keeps the others at home
     maybe = spark.sparkContext.broadcast(bitmap_of(live, "cid"))
     whole = checkpoint(sets(docs, width, percent, only=maybe).select("cid", "keys").dropDuplicates(["cid"]))
@@ -145,25 +147,58 @@ def links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame
         lists = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open"))
         rest = lists.agg(F.sum("open")).first()[0] or 0
         if rest == 0:
-            return members, comp
+            return members, comp, live, whole
         if rest <= 8 * size or before is not None and rest > 0.7 * before:
             break
         before = rest
-    # what is left between components, list by list: blocks of sizes, then exact size and position bounds
+    # what is left between components, list by list
+    pairs = opened(labelled, percent, "c <> c2", ["key"]).select("a", "b").distinct()
+    return members, components(found.union(verified(pairs, whole, percent))), live, whole
+
+
+def opened(lists: DataFrame, percent: int, where: str, on: list[str]) -> DataFrame:
+    """a, b, c: pairs of one list (key, cid, n, pos, c) that may link: blocks of sizes, then exact size and position bounds."""
     step = float(np.log(100 / percent))
     block = F.floor(F.log(F.col("n").cast("double")) / step)
-    left = labelled.withColumn("block", block)
-    right = labelled.select("key", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), F.explode(F.sequence(block - 1, block + 1)).alias("block"))
+    left = lists.withColumn("block", block)
+    right = lists.select(*on, F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), *([] if "c" in on else [F.col("c").alias("c2")]), F.explode(F.sequence(block - 1, block + 1)).alias("block"))
     bound = F.expr(f"least(n - pos, n2 - pos2) * {100 + percent} >= {percent} * (n + n2)")
     sized = F.expr("(n < n2 or n = n2 and cid < cid2)") & F.expr(f"100 * n >= {percent} * n2")
-    opened = left.join(right, ["key", "block"]).where("c <> c2").where(sized).where(bound)
-    pairs = opened.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
-    return members, components(found.union(verified(pairs, whole, percent)))
+    return left.join(right, [*on, "block"]).where(where).where(sized).where(bound).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"), "c")
+
+
+def answers(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id, n, cid; links: a, b): every pair a < b of classes that links, inside components too.
+
+    The overlaps of all sets of a component with its root bound those among them from both sides; the whole
+    sets are compared only where these bounds leave a pair open."""
+    members, comp, live, whole = connected(docs, width, percent)
+    if whole is None:
+        return members, live.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    root = whole.select(F.col("cid").alias("root"), F.col("keys").alias("root_keys"))
+    near = checkpoint(comp.join(whole, comp.node == whole.cid).join(root, "root").select("node", F.size("keys").alias("n"), F.size("root_keys").alias("m"), F.size(F.array_intersect("keys", "root_keys")).alias("o")))
+    lists = live.join(comp, live.cid == comp.node).select(*live.columns, F.col("root").alias("c"))
+    pairs = opened(lists, percent, "true", ["c", "key"]).select("a", "b").distinct()
+    x, y = (near.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("o").alias("o" + c), *([F.col("m")] if c == "a" else [])) for c in "ab")
+    low, high = "oa + ob - m", "least(oa, ob) + least(na - oa, nb - ob)"
+    links = lambda o: F.expr(f"{100 + percent} * ({o}) >= {percent} * (na + nb)")
+    derived = checkpoint(pairs.join(x, "a").join(y, "b").where(links(high)).select("a", "b", links(low).alias("sure")))
+    return members, derived.where("sure").select("a", "b").union(verified(derived.where("not sure").select("a", "b"), whole, percent))
+
+
+def link_counts(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_links of every row: how many other rows its text links with, equal sets included."""
+    members, links = answers(docs, width, percent)
+    weight = members.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("w"))
+    ends = links.select("a", "b").union(links.select("b", "a"))
+    more = ends.join(weight, ends.b == weight.cid).groupBy("a").agg(F.sum("w").alias("k"))
+    per = weight.join(more, weight.cid == more.a, "left").select("cid", (F.col("w") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"))
+    return members.join(per, "cid", "left").select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
 
 
 def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    members, comp = links(docs, width, percent)
+    members, comp, _, _ = connected(docs, width, percent)
     rows = members.join(comp, members.cid == comp.node, "left").select("doc_id", "n", F.coalesce("root", "cid").alias("root"))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
     return rows.join(least, "root", "left").select(

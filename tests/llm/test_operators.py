@@ -251,6 +251,22 @@ def test_jaccard(spark, docs, none):
     assert jaccard.groups(none).count() == 0
 
 
+def test_jaccard_answers_hold_every_link(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{j}" for j in range(90)]
+    texts = [" ".join(w if rng.random() > 0.02 * (i % 4) else f"x{i}" for w in base) for i in range(24)]
+    texts += [" ".join(base[k:] + [f"y{j}" for j in range(k)]) for k in range(0, 40, 3)] + [texts[3], None, "", "other words here now and then"]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[3])]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} if d is not None and (w := words(t)) else set() for d, t in rows]
+    link = [[i != j and bool(x and y) and 100 * len(x & y) >= 85 * len(x | y) for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_links) for r in jaccard.link_counts(df).collect())
+    assert got == Counter((d, sum(k)) for (d, _), k in zip(rows, link, strict=True)) and max(map(sum, link)) > 8
+    assert sum(map(sum, link)) < sum(n > 0 for n in map(sum, link)) ** 2 - len(rows)
+    members, pairs = jaccard.answers(df)
+    assert pairs.count() == pairs.distinct().count() and jaccard.link_counts(df.limit(0)).count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     centers = rng.standard_normal((60, 64))
