@@ -1,9 +1,9 @@
 """Secret scan with multipart credential linking (op2), in built-in functions only.
 
 Base kinds (assign, access, hex) are found by regular expressions; positions come from the lengths of
-the pieces between matches. Weak parts (a bare secret, an endpoint) are reported only when the parts
-that complete a credential lie within SCOPE code points: the interval join of identifiers, secrets and
-endpoints happens inside each row on its few candidates, so nothing is shuffled.
+the pieces between matches. Weak parts (a bare secret, an endpoint) are reported only when the same text
+has the parts that complete a credential, at any distance: identifiers, secrets and endpoints are joined
+inside each row on its few candidates, so nothing is shuffled.
 
 Null text is the empty text; empty tables give empty tables; rows are kept one for one; extra columns
 are ignored by scan() and kept by redact().
@@ -14,14 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Code points between the parts of one credential.
-SCOPE = 300
 #: The patterns. (?i:) holds for the letters of the key words alone.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"(?i:\b(?:access_?key_?id|client_?id|account|user(?:name)?|login))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}"
-BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/_.=-])"
+BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_.=-])"
 ENDPOINT = r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{4,}"
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 SPAN = "array<struct<s:int,k:int,e:int>>"
@@ -43,10 +41,6 @@ def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     return F.when(F.regexp_count(text, F.lit(pattern)) > 0, F.aggregate(parts, start, add)["out"]).otherwise(F.array().cast(SPAN))
 
 
-def close(a: Column, b: Column) -> Column:
-    return (a["s"] - b["e"] <= SCOPE) & (b["s"] - a["e"] <= SCOPE)
-
-
 def overlap(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
@@ -57,8 +51,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     df = docs.withColumns({"_assign": spans_of(t, ASSIGN, 0, 2, 6), "_access": spans_of(t, ACCESS, 1), "_hex": spans_of(t, HEX, 2), "_ident": spans_of(t, IDENT, 9), "_bare": spans_of(t, BARE, 3), "_end": spans_of(t, ENDPOINT, 4)})
     df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     ids, keys = F.concat("_access", "_ident"), F.concat("_assign", "_hex", "_bare")
-    bare = F.filter("_bare", lambda w: ~F.exists("_base", lambda b: overlap(w, b)) & (F.exists(ids, lambda i: close(w, i)) | F.exists("_end", lambda e: close(w, e) & F.exists(ids, lambda i: close(e, i)))))
-    ends = F.filter("_end", lambda w: F.exists(ids, lambda i: close(w, i)) & F.exists(keys, lambda k: close(w, k) & ~overlap(w, k)))
+    bare = F.filter("_bare", lambda w: (F.size(ids) > 0) & ~F.exists("_base", lambda b: overlap(w, b)))
+    ends = F.filter("_end", lambda w: (F.size(ids) > 0) & F.exists(keys, lambda k: ~overlap(w, k)))
     return df.withColumn("_spans", F.array_sort(F.concat("_base", bare, ends))).drop("_assign", "_access", "_hex", "_ident", "_bare", "_end")
 
 
