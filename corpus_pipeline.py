@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessgraph.llm import jaccard, packing, quality_classifier, quality_rules, secrets
 from tessgraph.llm.common import table
@@ -24,10 +25,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: of the row or rows with the smallest doc_id, one."""
-    first = jaccard.groups(docs, SHINGLE, SIMILAR).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group stays, the one with the smallest doc_id. Rows are told apart by all their columns:
+    an id may be null or stand for several texts, and only rows equal in every column count as one."""
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    group = jaccard.groups(keyed.select(F.col("_row").alias("doc_id"), "text"), SHINGLE, SIMILAR).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = keyed.select("_row", "doc_id").distinct().join(group, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    return keyed.join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -301,3 +301,13 @@ def test_pipeline_keeps_columns(spark, docs):
     ids = [r.doc_id for r in out.collect()]
     assert 3 in ids and 4 not in ids and 5 in ids and 6 not in ids and ids.count(3) == 1
     assert docs.count() == len(TEXTS) + 1 and F is not None
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_its_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    other = " ".join(f"term{i}" for i in range(60))
+    third = " ".join(f"item{i}" for i in range(60))
+    rows = [(7, BASE, "a"), (7, other, "b"), (8, BASE + " tail", "c"), (None, third, "d"), (None, third, "d"), (None, third + " tail", "d"), (None, other, "e"), (9, "", "f"), (10, None, "g")]
+    out = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "").collect()
+    assert Counter((r.doc_id, r.text) for r in out if r.text and not r.text.startswith("item")) == {(7, BASE): 1, (7, other): 1}
+    assert sum((r.text or "").startswith("item") for r in out) == 1 and {9, 10} <= {r.doc_id for r in out} and len(out) == 5
