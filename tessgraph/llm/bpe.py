@@ -8,7 +8,8 @@ read backwards along its path.
 
 Row contract of ``encode``: one row per input row, in place; null text is the empty text (no ids);
 repeated rows give repeated results; extra columns pass only if named in ``keep``; an empty table
-gives an empty table. Memory is bounded by SLICE_CHARS of text and CACHE_CHUNKS cached chunks.
+gives an empty table. Memory is bounded by ENCODE_CHARS of text (or one longer text) and CACHE_CHUNKS cached chunks.
+The empty token list decodes to the empty text; repeated special tokens stand for one id each.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,7 +29,10 @@ from .common import batch_of, text_slices, tokenizer_path
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words never cross such a place, so what lies between two of them can be encoded, and cached, alone.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-CACHE_CHUNKS = 400_000
+#: Cached chunks, and the longest chunk that is cached.
+CACHE_CHUNKS, CACHE_CHARS = 600_000, 200
+#: Characters whose distinct words share one trie.
+ENCODE_CHARS = 1 << 22
 FAR = 1 << 60
 
 
@@ -38,30 +43,44 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def vocabulary(path: str) -> tuple[dict, dict[bytes, int], dict[str, int]]:
+    """(the file, ids of tokens by their bytes, ids of special tokens by their text)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letter = byte_letters()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return spec, {bytes(letter[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}, special
+
+
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letter = byte_letters()
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.vocab = {bytes(letter[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
+        spec, self.vocab, self.special = vocabulary(path)
         self.bytes = {i: b for b, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.merged: dict[tuple[int, int], int] = {}  # pair -> rank
         self.parts: dict[int, tuple[int, int, int]] = {}  # token -> (left, right, rank)
+        letter = byte_letters()
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (self.vocab[bytes(letter[c] for c in s)] for s in (pair.split(" ") if isinstance(pair, str) else pair))
             c = self.vocab[self.bytes[a] + self.bytes[b]]
             self.merged[a, b] = rank
             self.parts.setdefault(c, (a, b, rank))
-        self.longest = max(map(len, self.vocab))
         self.stable: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # left << 20 | right -> leaves(left, right)
+        self.found = ahocorasick.Automaton()
+        for token, i in self.vocab.items():
+            self.found.add_word(token.decode("latin-1"), (len(token), i))
+        self.found.make_automaton()
+        self.le = {i: i.to_bytes(4, "little") for i in self.bytes}
+        self.decimal = {i: str(i) for i in self.bytes}
         self.findall = regex.compile(PATTERN).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}  # what follows a space -> the ids of its chunk
 
     def leaves(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens would end in just these two.
@@ -92,44 +111,47 @@ class ByteBPE:
         self.stable[left, right] = ok
         return ok
 
-    def encode_words(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of distinct words. Sorted order is the trie's depth-first order: the path of states is cut
-        back to the prefix shared with the next word and grown by its remaining bytes."""
-        vocab, longest, leaves = self.vocab, self.longest, self.leaves
-        out: dict[bytes, tuple[int, ...]] = {}
-        path: list[int] = []  # last token of each prefix of the current word
-        before = b""
+    def encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Of distinct words the ids, as little-endian 32-bit numbers.
+
+        Sorted order is the trie's depth-first order: the path of states (last token of each prefix) is cut back
+        to the prefix shared with the next word and grown by its other bytes; the ids are read backwards along it.
+        The tokens that end at a byte come from an automaton, longest first."""
+        found, fits, le, raw = self.found.iter, self.fits, self.le, self.bytes
+        out: dict[bytes, bytes] = {}
+        last, before = [-1], b""
+        if len(fits) > 2_000_000:
+            fits.clear()
         for word in sorted(words):
-            whole = vocab.get(word)
-            n, shared = len(word), 0
-            most = min(len(before), n)
+            shared, most = 0, min(len(before), len(word))
             if before[:most] == word[:most]:
                 shared = most
             else:
                 while before[shared] == word[shared]:
                     shared += 1
-            del path[shared:]
-            for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    t = vocab.get(word[start:end])
-                    if t is None:
-                        continue
-                    if start == 0:
-                        if self.whole(t):
-                            path.append(t)
-                            break
-                    elif leaves(path[start - 1], t):
-                        path.append(t)
-                        break
-                else:
-                    raise ValueError(f"no token ends {word[:end]!r}")
+            del last[shared + 1 :]
+            states = shared + 1
+            for at, (n, t) in found(word.decode("latin-1")):
+                if at + 1 < states:  # this prefix has its state
+                    continue
+                start = at + 1 - n
+                key = last[start] << 20 | t
+                ok = fits.get(key)
+                if ok is None:
+                    ok = fits[key] = self.leaves(last[start], t) if start else self.whole(t)
+                if ok:
+                    last.append(t)
+                    states += 1
+            if states <= len(word):
+                raise ValueError(f"no token ends {word[:states]!r}")
             before = word
-            ids, at = [], n
+            at, ids = len(word), []
             while at:
-                ids.append(path[at - 1])
-                at -= len(self.bytes[path[at - 1]])
+                t = last[at]
+                ids.append(le[t])
+                at -= len(raw[t])
             ids.reverse()
-            out[word] = tuple(ids) if whole is None or len(ids) > 1 else (whole,)
+            out[word] = b"".join(ids)
         return out
 
     def whole(self, token: int) -> bool:
@@ -156,16 +178,17 @@ class ByteBPE:
             self.stable[left, right] = known
         return ok
 
-    def learn(self, chunks: set[str]) -> None:
-        """Adds the encodings of chunks to the cache, by one trie over their distinct words."""
-        new = chunks - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            new = chunks
-        words = {c: [w.encode() for w in self.findall(c)] for c in new}
-        ids = self.encode_words({w for ws in words.values() for w in ws})
-        for c, ws in words.items():
-            self.cache[c] = ids[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in ids[w])
+    def of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """Of each chunk its ids, by one trie over the distinct words that are not yet known."""
+        words = {c: [w.encode() for w in self.findall(c)] for c in chunks if c not in self.special}
+        distinct = {w for ws in words.values() for w in ws}
+        if len(self.words) + len(distinct) > CACHE_CHUNKS:
+            self.words.clear()
+        ids = self.encode_words(distinct - self.words.keys())
+        ids |= {w: self.words[w] for w in distinct if w in self.words}
+        self.words.update((w, f) for w, f in ids.items() if len(w) < CACHE_CHARS)
+        out = {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in words.items()}
+        return out | {c: self.le[i] for c, i in self.special.items() if c in chunks}
 
     def chunks(self, text: str) -> list[str]:
         """The text cut into chunks; a special token's text is a chunk of its own."""
@@ -173,16 +196,40 @@ class ByteBPE:
             return [c for k, part in enumerate(self.split_special(text)) if part for c in ([part] if k % 2 else CUT.split(part))]
         return CUT.split(text) if text else []
 
-    def encode_slice(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """Of each text, the ids of its chunks in order."""
-        cut = [self.chunks(t) for t in texts]
-        distinct = set().union(*cut) if cut else set()
-        self.learn({c for c in distinct if c not in self.special})
-        get = self.cache.__getitem__
-        if self.special and not distinct.isdisjoint(self.special):
-            own = {s: (i,) for s, i in self.special.items()}
-            return [[own[c] if c in own else get(c) for c in cs] for cs in cut]
-        return [[get(c) for c in cs] for cs in cut]
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text its ids, as little-endian 32-bit numbers.
+
+        A text is cut at its spaces if every one lies between two characters that are not white space: then
+        each is a place that no word crosses. Other texts, and texts with special tokens, are cut by chunks().
+        Chunks are looked up by what follows their space; only those not yet known are encoded."""
+        known, rows, wanted = self.known, [], set()
+        for text in texts:
+            if any(s in text for s in self.special):
+                rows.append((None, self.chunks(text)))
+                continue
+            parts = text.split(" ")
+            found = list(map(known.get, parts))
+            missing = {p for p, f in zip(parts, found) if f is None} if None in found else ()
+            if any(not p or p[0].isspace() or p[-1].isspace() for p in (*missing, parts[0])):
+                rows.append((None, self.chunks(text)))
+            else:
+                rows.append((found, parts))
+                wanted.update(missing)
+        more = self.of_chunks({" " + p for p in wanted} | {c for found, cs in rows for c in (cs if found is None else cs[:1])})
+        if len(known) + len(wanted) > CACHE_CHUNKS:
+            known.clear()
+        known.update((p, more[" " + p]) for p in wanted if len(p) < CACHE_CHARS)
+        for found, cs in rows:
+            if found is None:
+                found = [more[c] for c in cs]
+            else:
+                if None in found:
+                    found = [more[" " + p] if f is None else f for f, p in zip(found, cs, strict=True)]
+                found[0] = more[cs[0]]
+            yield b"".join(found)
+
+    def decimals(self, ids: list[int]) -> str:
+        return ",".join(map(self.decimal.__getitem__, ids))
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -209,9 +256,9 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for part, texts in text_slices(batch, column):
-                ids = [[i for c in cs for i in c] for cs in bpe.encode_slice(texts)]
-                out = [part.column(c) for c in keep] + [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())]
+            for part, texts in text_slices(batch, column, ENCODE_CHARS):
+                ids = [np.frombuffer(le, "<i4") for le in bpe.encoded(texts)]
+                out = [part.column(c) for c in keep] + [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, "ids", "decoded"])
 
     return docs.select(*keep, column).mapInArrow(run, schema)
@@ -229,11 +276,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for part, texts in text_slices(batch):
-                rows = []
-                for cs in bpe.encode_slice(texts):
-                    ids = [i for c in cs for i in c]
-                    rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+            for part, texts in text_slices(batch, max_chars=ENCODE_CHARS):
+                sha = lambda b: hashlib.sha256(b).hexdigest()
+                ids = (np.frombuffer(le, "<u4").tolist() for le in bpe.encoded(texts))
+                rows = [(len(x), sha(bpe.decimals(x).encode()), sha(bpe.decode(x).encode())) for x in ids]
                 yield batch_of(DIGEST, [part.column("doc_id"), *map(list, zip(*rows, strict=True))])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,8 +7,9 @@ comes closest to the capacity, counts are backtracked, and that window is repeat
 counts allow. Documents are then dealt to the planned places by their number within their length:
 counts per partition give each partition its first number, so no group of equal lengths meets in one task.
 
-Null text is the empty text (one id, the end). Rows are packed one by one, repeated or not; an empty
-table gives an empty table; extra columns are ignored.
+Null text is the empty text (one id, the end). Null ids stay null. Rows are packed one by one, repeated or
+not; equal lengths are dealt in the order of their numbers; an empty table gives an empty table; extra
+columns are ignored. The vocabulary's ids must follow its merge order, as in the file that is the default.
 """
 
 from __future__ import annotations
@@ -16,34 +17,49 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import loaded
+from .bpe import PATTERN, vocabulary
 from .common import batch_of, checkpoint, text_slices, tokenizer_path
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 
 
+#: Rows of a plan that is broadcast, some 50 bytes each.
+PLAN_ROWS = 200_000
+_loaded: dict = {}
+
+
+def encoder(path: str):
+    """One encoder per Python worker and file: the library's byte-pair encoder, with the file's tokens and their ids as ranks."""
+    if path not in _loaded:
+        import tiktoken
+
+        _, ranks, special = vocabulary(path)
+        _loaded[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _loaded[path]
+
+
 def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece, with part and nth: its number within its length in its partition."""
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, seen = loaded(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, part, seen, end = encoder(path).encode_to_numpy, TaskContext.get().partitionId(), [0] * (capacity + 1), end_id.to_bytes(4, "little")
         for batch in batches:
             for rows, texts in text_slices(batch):
                 out = []
-                for doc, cs in zip(rows.column("doc_id").to_pylist(), bpe.encode_slice(texts), strict=True):
-                    ids = np.fromiter((i for c in cs for i in c), "<u4")
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for at in range(0, len(ids), capacity):
-                        cut = ids[at : at + capacity]
-                        out.append((doc, at, len(cut), zlib.crc32(cut.tobytes()), len(ids), part, int(seen[len(cut)])))
-                        seen[len(cut)] += 1
+                for doc, text in zip(rows.column("doc_id").to_pylist(), texts, strict=True):
+                    ids = encode(text, allowed_special="all").astype("<u4").tobytes() + end
+                    total = len(ids) // 4
+                    for at in range(0, total, capacity):
+                        cut = ids[4 * at : 4 * (at + capacity)]
+                        n = len(cut) // 4
+                        out.append((doc, at, n, zlib.crc32(cut), total, part, seen[n]))
+                        seen[n] += 1
                 yield batch_of(PIECE, [list(c) for c in zip(*out, strict=True)])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long")
@@ -108,8 +124,9 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path: str | Non
     rows = plan(counts, capacity)
     planned = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)], "length long, lo long, numbers long, each long, window long, base long")
     numbered = cut.join(first, ["length", "part"]).withColumn("number", F.col("first") + F.col("nth"))
-    # the plan has a bounded number of rows: each window kind uses up one length, and holds few lengths
-    dealt = numbered.join(F.broadcast(planned), ["length"]).where("number >= lo and number < lo + numbers")
+    # each window kind uses up a length, so the plan is bounded by the capacity; broadcast only if it is small indeed
+    small = F.broadcast(planned) if len(rows) <= PLAN_ROWS else planned
+    dealt = numbered.join(small, ["length"]).where("number >= lo and number < lo + numbers")
     return dealt.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("window") + F.floor((F.col("number") - F.col("lo")) / F.col("each"))).cast("long").alias("sequence_id"),
