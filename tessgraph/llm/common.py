@@ -23,26 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder that the session names; sets one only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Cuts lineage through the shared folder that the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", max_chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Runs of rows of at most max_chars characters (one row at least), with their texts; null is an empty text."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir. Where none is set, a local master (tests) gets a temporary one; a cluster is an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", max_chars: int = SLICE_CHARS, values: bool = True) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of rows of at most max_chars characters (one row at least), with their texts (if values); null is an empty text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > max_chars:
             part = batch.slice(start, i - start)
-            yield part, [t or "" for t in part.column(column).to_pylist()]
+            yield part, [t or "" for t in part.column(column).to_pylist()] if values else []
             start, held = i, 0
         held += n
     if start < len(sizes):
         part = batch.slice(start)
-        yield part, [t or "" for t in part.column(column).to_pylist()]
+        yield part, [t or "" for t in part.column(column).to_pylist()] if values else []
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

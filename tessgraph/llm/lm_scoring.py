@@ -1,206 +1,169 @@
 """Probabilistic suffix tree for language-model scoring (op7).
 
-Contexts grow from the empty one: a context is counted only if the context it extends is retained, and
-retained if a leave-one-out divergence test says that its next-symbol distribution predicts better than
-that of its suffix. Distributions are smoothed by their suffix's: p(w|s) = (c(s,w) + ALPHA p(w|suffix)) /
-(c(s) + ALPHA). No length is set: growing ends when the test retains nothing. A token is scored by the longest retained suffix of what precedes it.
-
-The tree grows with the corpus and stays distributed. Scorers get two vectors of fixed size: the HOT
-most frequent tokens and a bitmap of retained contexts (false positives only cost a join). Tokens these
-decide are summed on the spot; the others are joined with the tree. Frequent symbols are thus no hot
-join keys.
+Contexts of every length are candidates; no length is set. A context is retained if its suffix is, if it
+occurs twice in training, and if a leave-one-out divergence test says that its next-symbol distribution
+predicts its own training tokens better than its suffix's by more than PRICE nats. Distributions are
+smoothed by their suffix's: p(w|s) = (c(s,w) + ALPHA p(w|suffix)) / (c(s) + ALPHA). A token is scored by
+the longest retained suffix of what precedes it in its document. Growing ends with the level that retains none.
+
+The tree grows with the corpus and stays distributed: shards of the key space hold its counts, and blocks of
+documents ask for what their own tokens need (see blocks.py). Level d takes one question for the pairs
+(context of d tokens, next token) and, a round later, one for the contexts; pairs of level d+1 go with the
+contexts of level d. A pair is counted, here and in c(s), only if its shorter pair (suffix, token) is counted
+twice or more: a token seen once after a context tells nothing more after a longer one.
 
 Null or blank text: the end token alone. Repeated rows get one equal result each. Null doc_id: its
-remainder is that of the empty string. Extra columns are ignored; an empty table gives an empty table.
+remainder is that of the empty string. A context whose gain equals PRICE is not retained. Without training
+text every token has probability 1 / (0 + 0 + 1). Extra columns are ignored; an empty table gives an empty
+table. Equal 64-bit keys are taken as equal words and contexts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import batch_of, bitmap_of, checkpoint, hash_words, inside, mix, text_slices, word_arrays
+from .blocks import BLOCK_CHARS, Block, Shard, asked, blocks_of, distinct, question, shard_bits, summary, told
+from .common import mix
 
-ALPHA = 2.0
-HOT = 1 << 17
-END = np.uint64(0x5EED)
+ALPHA, PRICE = 2.0, 4.0
+END = 0x5EED
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+PAIR, CONTEXT = 0, 1
 
 
 def held_out(doc_id, folds: int, fold: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
 
 
-def token_keys(texts: list[str]) -> list[np.ndarray]:
-    idx, counts, distinct = word_arrays(texts, lower=True)
-    keys = hash_words(distinct)[idx] if len(idx) else np.zeros(0, np.uint64)
-    ends = np.cumsum(counts)
-    return [np.append(keys[e - n : e], END) for e, n in zip(ends, counts, strict=True)]
-
-
-class Packed:
-    """A broadcast bitmap, sent and stored compressed: most levels set few bits. value is unpacked once a task."""
-
-    def __init__(self, sc, bitmap: np.ndarray):
-        self.sent, self.open = sc.broadcast(zlib.compress(bitmap.tobytes(), 1)), None
-
-    def __reduce__(self):
-        return _packed, (self.sent,)
-
-    @property
-    def value(self) -> np.ndarray:
-        if self.open is None:
-            self.open = np.frombuffer(zlib.decompress(self.sent.value), np.uint8)
-        return self.open
-
-
-def _packed(sent) -> Packed:
-    one = Packed.__new__(Packed)
-    one.sent, one.open = sent, None
-    return one
-
-
-def chain(tokens: np.ndarray, bitmaps: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """depth, positions, keys of their contexts of that depth and of the suffixes of these, level by level.
-
-    A position goes on while it has tokens before it and all shorter contexts are in their bitmaps; bitmaps[0] is unused."""
-    at, h = np.arange(1, len(tokens)), np.zeros(max(len(tokens) - 1, 0), np.uint64)
-    for d in range(1, len(bitmaps) + 1):
-        if d > 1:
-            ok = inside(bitmaps[d - 1].value, h) & (at >= d)
-            at, h = at[ok], h[ok]
-        suf = h
-        with np.errstate(over="ignore"):
-            h = mix((h + np.uint64(1)) * GOLD + tokens[at - d])
-        yield d, at, h, suf
-
-
-def grams(docs: DataFrame, depth: int, bitmaps: list, folds: int, fold: int) -> DataFrame:
-    """ctx, suf, sym, n: counts of training tokens after contexts of this depth whose suffix is retained."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_slices(batch):
-                train = [t for t, d in zip(texts, part.column("doc_id").to_pylist(), strict=True) if not held_out(d, folds, fold)]
-                rows = []
-                for tokens in token_keys(train):
-                    at, c = np.arange(len(tokens)), np.zeros(len(tokens), np.uint64)
-                    s = c
-                    if depth:
-                        *_, (_, at, c, s) = chain(tokens, bitmaps)
-                    rows.append(np.stack([c, s, tokens[at]], 1))
-                flat, n = np.unique(np.concatenate([np.zeros((0, 3), np.uint64), *rows]), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(flat[:, k].copy().view(np.int64)) for k in range(3)), pa.array(n)], names=["ctx", "suf", "sym", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "ctx long, suf long, sym long, n long").groupBy("ctx", "suf", "sym").agg(F.sum("n").alias("n"))
-
-
-def grow(docs: DataFrame, folds: int, fold: int):
-    """(seen: level, ctx, sym, n, p; states: level, ctx, back; bitmaps; N; V). Ends at the level that retains nothing."""
-    sc = docs.sparkSession.sparkContext
-    uni = checkpoint(grams(docs, 0, [], folds, fold))
-    total, distinct = uni.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    last = uni.select(F.lit(0).alias("level"), "ctx", "sym", "n", ((F.col("n") + 1) / float(total + distinct + 1)).alias("p"))
-    levels, states, bitmaps = [last], [], [None]
+def gain(c: np.ndarray, repeated: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Leave-one-out gain of a context over its suffix, in nats.
+
+    c: its tokens; repeated: those of pairs seen twice or more; terms: the sum of n ln((n - 1 + ALPHA q) / q) over
+    these pairs. A pair seen once is left with ALPHA q alone, whatever q is."""
+    return terms + (c - repeated) * np.log(ALPHA) - c * np.log(np.maximum(c - 1, 0) + ALPHA)
+
+
+class Walk:
+    """A block's positions, level by level, as far as the first k rounds of answers go.
+
+    p: the probability of every token by its longest retained context so far; questions: the distinct keys
+    to ask for in this round, with what the block itself has to add, as (kind, level, keys, numbers)."""
+
+    def __init__(self, block: Block, k: int, folds: int, fold: int, totals: tuple[float, float] | None):
+        self.block, self.questions = block, []
+        self.held = np.array([held_out(d, folds, fold) for d in block.ids], bool)
+        train, n = np.repeat(~self.held, block.counts), len(block.words)
+        order = np.argsort(block.keys)
+        if k == 0:
+            own = np.bincount(block.words[train], minlength=len(block.keys))
+            self.questions.append((PAIR, 0, block.keys[order], own[order].astype(np.uint64)))
+            return
+        of_key = np.zeros(len(block.keys), np.int64)
+        of_key[order] = block.answer(PAIR, 0, len(block.keys)) >> np.uint64(1)
+        tokens, self.n0 = block.keys[block.words], of_key[block.words]
+        self.base = np.log((self.n0 + 1) / (totals[0] + totals[1] + 1))
+        self.p = np.exp(self.base)
+        depth = np.arange(n) - np.repeat(np.cumsum(block.counts) - block.counts, block.counts)
+        sym = mix(~tokens)
+        # candidates of a level: positions, their context one level shorter, and the count of that with the token
+        at = np.flatnonzero(depth >= 1)
+        at = at[self.n0[at - 1] >= 2]
+        h, before, kept = np.zeros(len(at), np.uint64), self.n0[at], np.ones(n, bool)
+        for d in range(1, k + 1):
+            if not len(at):
+                return
+            with np.errstate(over="ignore"):
+                h = mix((h + np.uint64(1)) * GOLD + tokens[at - d])
+            here = train[at]
+            known = before >= 2
+            ask = np.flatnonzero(known)
+            pairs, first, inv = distinct(mix(h[ask] ^ sym[at[ask]]))
+            if d == k:
+                self.questions.append((PAIR, d, pairs, np.bincount(inv[here[ask]], minlength=len(pairs)).astype(np.uint64)))
+                return
+            got = block.answer(PAIR, d, len(pairs))
+            count = np.zeros(len(at), np.int64)
+            count[ask] = (got >> np.uint64(1)).astype(np.int64)[inv]
+            counted = np.full(n, 2, np.int64)
+            counted[at] = count
+            # the pairs that this block adds up for all
+            mine = np.flatnonzero((got & np.uint64(1) == 1) & (got >= 4))
+            spots, times = at[ask[first[mine]]], (got[mine] >> np.uint64(1)).astype(np.float64)
+            # only now is it known which contexts of the level before are retained
+            stay = kept[at]
+            at, h, count, here = at[stay], h[stay], count[stay], (here & known)[stay]
+            contexts, _, inv = distinct(h)
+            if d + 1 == k:
+                index = np.full(n, -1, np.int64)
+                index[at] = inv
+                row = index[spots]
+                row, times, q = row[row >= 0], times[row >= 0], self.p[spots[row >= 0]]
+                sums = [np.bincount(inv[here], minlength=len(contexts)), np.bincount(row, times, len(contexts)), np.bincount(row, times * np.log((times - 1 + ALPHA * q) / q), len(contexts))]
+                self.questions.append((CONTEXT, d, contexts, np.stack(sums, 1).astype(np.float64)))
+            else:
+                c = block.answer(CONTEXT, d, len(contexts)).astype(np.int64)[inv]
+                keep = c > 0
+                self.p[at[keep]] = (count[keep] + ALPHA * self.p[at[keep]]) / (c[keep] + ALPHA)
+                kept = np.zeros(n, bool)
+                kept[at[keep]] = True
+            # a longer context must occur twice; where it was counted, as a pair that ends one token earlier, that is known
+            more = (depth[at] > d) & (counted[at - 1] >= 2)
+            at, h, before = at[more], h[more], count[more]
+
+
+def answered(rows: pa.Table, bits: int, price: float) -> pa.Table:
+    """A shard's answers: of pairs twice their count, plus 1 for the first block that has it in training; of contexts their
+    count if they are retained, else 0."""
+    kind = rows.column("kind")[0].as_py()
+    if kind == PAIR:
+        s = Shard(rows, bits, np.uint64)
+        n = s.total(s.sent.astype(np.float64)).astype(np.uint64)
+        known = n[s.at] * np.uint64(2)
+        has = np.flatnonzero(s.sent > 0)
+        _, first = np.unique(s.at[has], return_index=True)
+        known[has[first]] += np.uint64(1)
+        return s.answers(known, np.array([int(n.sum()), int((n > 0).sum())]))
+    s = Shard(rows, bits, np.float64)
+    sent = s.sent.reshape(-1, 3)
+    c, repeated, terms = (s.total(sent[:, k]) for k in range(3))
+    kept = (c > 1) & (gain(c, repeated, terms) > price)
+    return s.answers(np.where(kept, c, 0)[s.at], np.array([int(kept.sum()), len(c)]))
+
+
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scores(docs: DataFrame, folds: int = 7, fold: int = 2, price: float = PRICE, max_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    blocks = blocks_of(docs, max_chars)
+    bits, answers, totals, k = shard_bits(blocks), None, None, 0
     while True:
-        d = len(bitmaps)
-        counted = checkpoint(grams(docs, d, bitmaps, folds, fold))
-        below = last.select(F.col("ctx").alias("suf"), "sym", F.col("p").alias("q"))
-        sums = counted.groupBy("ctx").agg(F.sum("n").alias("c")).where("c > 1")  # a context seen once is never retained
-        rows = counted.join(below, ["suf", "sym"]).join(sums, "ctx")  # an inner join: false positives of the bitmap end here
-        loo = F.expr(f"n * ln(((n - 1) + {ALPHA} * q) / ((c - 1) + {ALPHA}) / q)")
-        kept = checkpoint(rows.groupBy("ctx").agg(F.sum(loo).alias("gain"), F.first("c").alias("c")).where("gain > 0").select("ctx", F.log(F.lit(ALPHA) / (F.col("c") + ALPHA)).alias("back")))
-        if kept.isEmpty():
+
+        def ask(row: pa.Table, got: pa.Table | None, k=k, totals=totals) -> pa.Table:
+            w = Walk(Block(row, got, END), k, folds, fold, totals)
+            none = question(0, 0, 0, np.zeros(0, np.uint64), np.zeros(0), bits)
+            return pa.concat_tables([none, *(question(w.block.block, *q, bits) for q in w.questions)])
+
+        new = asked(blocks, answers, ask, lambda rows: answered(rows, bits, price))
+        answers = new if answers is None else answers.union(new)
+        if k == 0:
+            totals = tuple(summary(new, PAIR, 0))
+        k += 1
+        # round k - 1 has answered the pairs of level k - 1 and the contexts of level k - 2
+        if k > 2 and summary(new, CONTEXT, k - 2)[0] == 0:
             break
-        last = checkpoint(rows.join(kept.select("ctx"), "ctx", "left_semi").select(F.lit(d).alias("level"), "ctx", "sym", "n", F.expr(f"(n + {ALPHA} * q) / (c + {ALPHA})").alias("p")))
-        levels.append(last)
-        states.append(kept.select(F.lit(d).alias("level"), "ctx", "back"))
-        bitmaps.append(Packed(sc, bitmap_of(kept, "ctx")))
-    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
-    return union(levels), union(states) if states else None, bitmaps, int(total), int(distinct)
 
+    def score(row: pa.Table, got: pa.Table) -> pa.Table:
+        w = Walk(Block(row, got, END), k, folds, fold, totals)
+        doc = np.repeat(np.arange(len(w.held)), w.block.counts)
+        add = lambda x: np.bincount(doc, x, len(w.held))
+        ten = np.log(10)
+        return pa.table({
+            "doc_id": pa.array(w.block.ids, pa.int64()), "held_out": w.held, "n_tokens": w.block.counts, "n_known": add(w.n0 > 0).astype(np.int64),
+            "train_tokens": np.full(len(w.held), int(totals[0]), np.int64), "base_score": add(w.base) / ten, "score": add(np.log(w.p)) / ten})
 
-def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    docs = docs.select("doc_id", "text")
-    seen, states, bitmaps, total, distinct = grow(docs, folds, fold)
-    hot = seen.where("level = 0").orderBy(F.desc("n"), "sym").limit(HOT).select("sym", "n").toArrow()  # HOT rows at most
-    o = np.argsort(hot.column("sym").to_numpy().view(np.uint64))
-    sc = docs.sparkSession.sparkContext
-    table = sc.broadcast((hot.column("sym").to_numpy().view(np.uint64)[o], hot.column("n").to_numpy()[o]))
-    room = float(total + distinct + 1)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64()), ("open", pa.list_(pa.struct([("id", pa.int64()), ("level", pa.int32()), ("ctx", pa.int64()), ("sym", pa.int64()), ("own", pa.bool_())])))])
-
-    def scorer(only=None):
-        """open: what must be joined, the longest context of each token; with only, all contexts of the tokens in that bitmap."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            syms, counts = table.value
-            for batch in batches:
-                for part, texts in text_slices(batch):
-                    names = [f"{d}:{len(t)}:{t}".encode("utf-8", "surrogatepass") for d, t in zip(part.column("doc_id").to_pylist(), texts, strict=True)]
-                    keys = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in names], np.uint64)
-                    fixed, sizes, opened = [], [], []
-                    for doc, key, tokens in zip(part.column("doc_id").to_pylist(), keys, token_keys(texts), strict=True):
-                        at = np.minimum(np.searchsorted(syms, tokens), max(len(syms) - 1, 0))
-                        known = syms[at] == tokens if len(syms) else np.zeros(len(tokens), bool)
-                        lp = np.zeros(len(tokens))
-                        lp[known] = np.log((counts[at[known]] + 1) / room)
-                        level, ctx = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.uint64)
-                        with np.errstate(over="ignore"):
-                            ids = mix(np.arange(1, len(tokens) + 1, dtype=np.uint64) * GOLD + key)
-                        want = inside(only.value, ids) if only is not None else None
-                        rows = [] if only is None else [(np.flatnonzero(want), 0, np.zeros(int(want.sum()), np.uint64))]
-                        for d, pos, c, _ in chain(tokens, bitmaps) if len(bitmaps) > 1 else ():
-                            if d == len(bitmaps):
-                                break
-                            ok = inside(bitmaps[d].value, c)
-                            level[pos[ok]], ctx[pos[ok]] = d, c[ok]
-                            if only is not None:
-                                ok &= want[pos]
-                                rows.append((pos[ok], d, c[ok]))
-                        if only is None:
-                            cold, deep = np.flatnonzero(~known), np.flatnonzero(level)
-                            pos, lev, con = np.concatenate([cold, deep]), np.concatenate([0 * cold, level[deep]]), np.concatenate([0 * ctx[cold], ctx[deep]])
-                            own = np.concatenate([level[cold] == 0, np.ones(len(deep), bool)])
-                        else:
-                            pos, con = (np.concatenate([r[k] for r in rows]) for k in (0, 2))
-                            lev, own = np.concatenate([np.full(len(r[0]), r[1]) for r in rows]), np.ones(len(pos), bool)
-                        sizes.append(len(pos))
-                        opened.append((ids[pos].view(np.int64), lev, con.view(np.int64), tokens[pos].view(np.int64), own))
-                        fixed.append((int(key.astype(np.int64)), doc, held_out(doc, folds, fold), len(tokens), int(known.sum()), float(lp.sum()), float(lp[level == 0].sum())))
-                    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*opened, strict=True), schema.field("open").type.value_type, strict=True)], fields=list(schema.field("open").type.value_type))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
-                    yield batch_of(schema, [*(list(c) for c in zip(*fixed, strict=True)), lists])
-
-        return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, open array<struct<id:long,level:int,ctx:long,sym:long,own:boolean>>")
-
-    done = scorer()
-    # equal rows are scored once; the short row key is enough, no text is shuffled
-    asked = lambda df: df.select("row", F.explode("open").alias("o")).select("row", "o.*").groupBy("level", "ctx", "sym", "row", "id").agg(F.first("own").alias("own"))
-    hit = checkpoint(asked(done).join(seen, ["level", "ctx", "sym"], "left").select("row", "id", "level", "own", "n", "p"))
-    first = F.col("level") == 0
-    extra = hit.groupBy("row").agg(
-        F.sum(F.when(first & (F.col("n") > 0), 1).otherwise(0)).alias("k"), F.sum(F.when(first, F.log((F.coalesce("n", F.lit(0)) + 1) / room)).otherwise(0.0)).alias("b"),
-        F.sum(F.when(F.col("own") & (first | F.col("p").isNotNull()), F.log(F.coalesce("p", F.lit(1 / room)))).otherwise(0.0)).alias("s"))
-    # tokens not seen after their longest context (or taken for one by a bitmap) go back through all of them
-    missed = hit.where("level > 0 and p is null").select("row", "id")
-    if states is not None and not missed.isEmpty():
-        back = asked(scorer(sc.broadcast(bitmap_of(missed, "id")))).join(missed, ["row", "id"], "left_semi")
-        per = back.join(seen, ["level", "ctx", "sym"], "left").join(states, ["level", "ctx"], "left").groupBy("row", "id").agg(
-            F.max(F.struct(F.when(F.col("p").isNotNull() | (F.col("level") == 0), F.col("level")).otherwise(-1).alias("level"), F.log(F.coalesce("p", F.lit(1 / room))).alias("lp"))).alias("best"),
-            F.collect_list(F.struct("level", F.coalesce("back", F.lit(0.0)).alias("back"))).alias("backs"))
-        lost = F.aggregate(F.filter("backs", lambda b: b["level"] > F.col("best.level")), F.lit(0.0), lambda a, b: a + b["back"])
-        late = per.groupBy("row").agg(F.sum(F.col("best.lp") + lost).alias("late"))
-        extra = extra.join(late, "row", "left").withColumn("s", F.col("s") + F.coalesce("late", F.lit(0.0)))
-    ten = float(np.log(10))
-    return done.drop("open").join(extra, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        ((F.col("base") + F.coalesce("b", F.lit(0.0))) / ten).alias("base_score"), ((F.col("own") + F.coalesce("s", F.lit(0.0))) / ten).alias("score"))
+    return told(blocks, answers, score, OUT)

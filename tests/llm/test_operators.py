@@ -190,27 +190,29 @@ def test_lm_scores(docs, none):
     assert lm_scoring.scores(none).count() == 0
 
 
-def test_lm_contexts_grow_until_none_is_retained(spark):
+@pytest.mark.parametrize("max_chars", [1 << 20, 200])
+def test_lm_contexts_grow_until_none_is_retained(spark, max_chars):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"q{x}" for x in rng.integers(0, 90, 40)) for _ in range(12)]
-    texts = [*texts, *(" ".join(t.split()[5:14]) for t in texts[:5]), "q1 q1 q1 q1 new q1"]
+    # each of the four tokens before tells more about the one that follows
+    texts = [*texts, *(" ".join(t.split()[5:14]) for t in texts[:5]), "q1 q1 q1 q1 new q1", *(f"h{k & 1} g{k >> 1 & 1} f{k >> 2} s e{k}" for k in range(8) for _ in range(9))]
     toks = [[*t.split(), None] for t in texts]
     train = [t for d, t in enumerate(toks) if zlib.crc32(str(d).encode()) % 7 != 2]
     uni = Counter(w for t in train for w in t)
     room, a = sum(uni.values()) + len(uni) + 1, lm_scoring.ALPHA
-    tree, d = {(): (None, {w: (n + 1) / room for w, n in uni.items()})}, 0
+    tree, d = {(): (None, {w: (n + 1) / room for w, n in uni.items()}, uni)}, 0
     while any(len(s) == d for s in tree):
         d += 1
         seen = {}
         for t in train:
             for i in range(d, len(t)):
-                if tuple(t[i - d + 1 : i]) in tree:
+                if tuple(t[i - d + 1 : i]) in tree and tree[tuple(t[i - d + 1 : i])][2][t[i]] > 1:
                     seen.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
         for s, ws in seen.items():
             c, q = sum(ws.values()), tree[s[1:]][1]
-            if c > 1 and sum(n * math.log(((n - 1) + a * q[w]) / (c - 1 + a) / q[w]) for w, n in ws.items()) > 0:
-                tree[s] = (math.log(a / (c + a)), {w: (n + a * q[w]) / (c + a) for w, n in ws.items()})
-    assert d > 4
+            if c > 1 and sum(n * math.log(((n - 1) + a * q[w]) / (c - 1 + a) / q[w]) for w, n in ws.items()) > 1.0:
+                tree[s] = (math.log(a / (c + a)), {w: (n + a * q[w]) / (c + a) for w, n in ws.items()}, ws)
+    assert max(map(len, tree)) >= 4
 
     def score(t):
         out = 0.0
@@ -224,7 +226,7 @@ def test_lm_contexts_grow_until_none_is_retained(spark):
             out += math.log(tree[tuple(t[i - k : i])][1].get(w, 1 / room))
         return out / math.log(10)
 
-    for r in lm_scoring.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+    for r in lm_scoring.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), price=1.0, max_chars=max_chars).collect():
         assert r.score == pytest.approx(score(toks[r.doc_id]), abs=1e-6)
 
 
