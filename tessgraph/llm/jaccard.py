@@ -1,76 +1,60 @@
 """Exact set-similarity join on word shingles with set-relation skipping (op9).
 
-Every text becomes its set of distinct word shingles (64-bit keys). Equal sets form one class and are
-joined once. Index lists hold the rarest shingles of each class (prefix filter; rarity by a fixed-size
-count sketch, any order gives the same links). Lists are cut into blocks by set size, and only blocks
-whose sizes can meet the threshold are opened; positions bound the overlap that is still possible.
-In each list one pivot set is compared with all others first. Sets linked with the same pivot are
-connected, and groups() opens only pairs between different components: its component_id needs no more.
-answers() gives every link. It derives the links inside a component from the sets' overlaps with its root.
-
-Null or blank text: empty set, linked with nothing, its own component. Null doc_id: linked with
-nothing, null component. Repeated rows and ids: one output row per input row. Extra columns are
-ignored; an empty table gives an empty table. Equal 64-bit keys are taken as equal shingles or sets.
+Every text becomes its set of distinct word shingles (64-bit keys). Equal sets form one class (a 128-bit key)
+and are joined once. Blocks of documents ask in how many classes each of their shingles occurs (see blocks.py);
+every class is ordered from its rarest shingle on, and its first ones go into index lists (prefix filter). Shingles
+of one class alone need no list, so a text that has too many of them to link with anything is left out at once.
+
+Lists are opened by blocks of set sizes and positions: sizes must allow the threshold, positions bound the overlap
+that is still possible, and other blocks are skipped. In each list all sets are compared with one pivot set, the
+same in as many lists as possible: one comparison a set and round. Sets linked with one pivot are connected. What
+is left between components is derived from the overlaps with a common pivot: they bound the overlap of two sets from
+both sides, and only pairs that the bounds leave open are compared. groups() needs no links inside a component;
+answers() gives these too, derived in the same way from the overlaps with the component's root.
+
+Null or blank text: empty set, linked with nothing, its own component. Null doc_id: linked with nothing, null
+component. Repeated rows and ids: one output row per input row. Ties at the threshold link. Extra columns are
+ignored; an empty table gives an empty table. Equal 64-bit keys are taken as equal shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bitmap_of, checkpoint, components, hash_words, inside, mix, text_slices, word_arrays
+from .blocks import ANSWER, BLOCK_CHARS, Block, Shard, asked, blocks_of, distinct, question, shard_bits, squeeze, told
+from .common import checkpoint, components, mix
 
-#: Buckets of the count sketch that orders shingles by rarity: the size of what is broadcast.
-SKETCH = 1 << 18
+FIRST, FREQUENCY = 0, 1
+#: Comparisons with one pivot that one task takes.
+FANOUT = 2048
+MEMBER = "doc_id long, n long, cid binary, block long, at long"
 
 
-def shingles(texts: list[str], width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle keys of each text."""
-    idx, counts, distinct = word_arrays(texts, lower=True)
-    keys = hash_words(distinct)[idx] if len(idx) else np.zeros(0, np.uint64)
-    out, at = [], 0
+def shingles(block: Block, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle keys of each text; a text with fewer words is one shingle."""
+    w = block.keys[block.words]
+    rolled = {}
     with np.errstate(over="ignore"):
-        for n in counts:
-            w = keys[at : at + n]
-            at += n
-            k = min(width, n)
-            if n == 0:
-                out.append(np.zeros(0, np.uint64))
-                continue
-            h = np.full(n - k + 1, np.uint64(k))
+        for k in range(1, width + 1):
+            h = np.full(max(len(w) - k + 1, 0), np.uint64(k))
             for j in range(k):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[j : n - k + 1 + j])
-            out.append(np.unique(h))
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j])
+            rolled[k] = h
+    out, at = [], 0
+    for n in block.counts.tolist():
+        k = min(width, n)
+        out.append(np.unique(rolled[k][at : at + n - k + 1]) if n else np.zeros(0, np.uint64))
+        at += n
     return out
 
 
-def class_key(keys: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """Number of documents' shingles in each sketch bucket: a vector of fixed size, summed in Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for _, texts in text_slices(batch):
-                for keys in shingles(texts, width):
-                    total += 0 if not len(keys) else np.bincount((keys & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(keys) > SKETCH // 8 else 0
-                    if 0 < len(keys) <= SKETCH // 8:
-                        np.add.at(total, (keys & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SKETCH, np.int64)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return out
+def class_key(keys: np.ndarray) -> bytes:
+    return hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
 
 
 def needed(n: int, percent: int) -> int:
@@ -78,82 +62,118 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def sets(docs: DataFrame, width: int, percent: int, order=None, only=None) -> DataFrame:
-    """doc_id, n, cid (class of equal sets), keys: the whole set, or with order its rarest keys, rarest first.
-
-    only: a bitmap of classes; the others are left out. Within a slice equal classes are then sent once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value if order is not None else None
-        for batch in batches:
-            for part, texts in text_slices(batch):
-                found = shingles(texts, width)
-                keys = []
-                for k in found:
-                    if rank is not None and len(k):
-                        o = np.lexsort((k, rank[(k & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                        k = k[o[: len(k) - needed(len(k), percent) + 1]]
-                    keys.append(k.view(np.int64))
-                cids = np.array([class_key(k) for k in found], np.int64)
-                columns = [part.column("doc_id"), [len(k) for k in found], cids, keys]
-                out = batch_of(schema, columns)
-                if only is not None:
-                    first = np.zeros(len(cids), bool)
-                    first[np.unique(cids, return_index=True)[1]] = True
-                    out = out.filter(pa.array(first & inside(only.value, cids.view(np.uint64))))
-                yield out
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, keys array<long>")
-
-
-def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by the exact overlap of their whole sets."""
-    x, y = (whole.select(F.col("cid").alias(c), F.col("keys").alias(k)) for c, k in (("a", "ka"), ("b", "kb")))
-    both = F.size(F.array_intersect("ka", "kb"))
-    return pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("ka") + F.size("kb") - both)).select("a", "b")
-
-
-def connected(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """(members: doc_id, n, cid; components: node, root; live: key, cid, n, pos; whole: cid, keys) over classes of equal sets.
-
-    live are the index lists of more than one class; whole is None if there are none."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    order = spark.sparkContext.broadcast(rarity(docs, width))
-    some = checkpoint(sets(docs, width, percent, order))
-    classes = some.where("n > 0").groupBy("cid", "n").agg(F.first("keys").alias("keys"))
-    posted = classes.select("cid", "n", F.posexplode("keys").alias("pos", "key"))
+def members_of(row: pa.Table, width: int) -> pa.Table:
+    b = Block(row, None)
+    sets = shingles(b, width)
+    cids = [class_key(s) if len(s) and i is not None else None for s, i in zip(sets, b.ids, strict=True)]
+    return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "cid": pa.array(cids, pa.binary()), "block": pa.array([b.block] * len(sets), pa.int64()), "at": pa.array(range(len(sets)), pa.int64())})
+
+
+def chosen(rows: pa.Table) -> pa.Table:
+    """The rows of a block that stand for their classes, as an answer to it."""
+    at = np.sort(rows.column("at").to_numpy())
+    return pa.table({"block": rows.column("block")[:1], "kind": pa.array([FIRST], pa.int32()), "level": pa.array([0], pa.int32()), "shard": pa.array([0], pa.int64()), "known": pa.array([squeeze(at.astype(np.uint64))], pa.binary())})
+
+
+def own_sets(row: pa.Table, got: pa.Table | None, width: int) -> tuple[Block, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(block, sets that stand for their class, their distinct keys, how many of the sets have each)."""
+    b = Block(row, got)
+    first = set(b.known.get((FIRST, 0), np.zeros(0, np.uint64)).tolist())
+    sets = [s for i, s in enumerate(shingles(b, width)) if i in first]
+    keys, _, inv = distinct(np.concatenate([np.zeros(0, np.uint64), *sets]))
+    return b, sets, keys, np.bincount(inv, minlength=len(keys)).astype(np.uint64)
+
+
+def live_sets(row: pa.Table, got: pa.Table, width: int, percent: int) -> pa.Table:
+    """cid, n, keys (rarest first) and the places of those that go into lists, of the classes that may link."""
+    b, sets, keys, _ = own_sets(row, got, width)
+    often = b.answer(FREQUENCY, 0, len(keys))
+    rows = []
+    for s in sets:
+        f = often[np.searchsorted(keys, s)]
+        o = np.lexsort((s, f))
+        top = np.flatnonzero(f[o[: len(s) - needed(len(s), percent) + 1]] > 1)
+        if len(top):
+            rows.append((class_key(s), len(s), s[o].view(np.int64), top))
+    cid, n, all_keys, top = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table({"cid": pa.array(cid, pa.binary()), "n": pa.array(n, pa.int64()), "keys": pa.array(all_keys, pa.list_(pa.int64())), "top": pa.array(top, pa.list_(pa.int32()))})
+
+
+def prepared(docs: DataFrame, width: int, percent: int, max_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets that may link: cid, n, keys; index lists of two or more classes: key, cid, n, pos)."""
+    blocks = blocks_of(docs, max_chars)
+    bits = shard_bits(blocks)
+    members = checkpoint(told(blocks, None, lambda b, _: members_of(b, width), MEMBER))
+    first = members.where("cid is not null").groupBy("cid").agg(F.min(F.struct("block", "at")).alias("r")).select("r.*")
+    reps = checkpoint(first.groupBy("block").applyInArrow(lambda rows: chosen(rows), ANSWER))
+
+    def ask(row: pa.Table, got: pa.Table | None) -> pa.Table:
+        b, _, keys, counts = own_sets(row, got, width)
+        return question(b.block, FREQUENCY, 0, keys, counts, bits)
+
+    def answer(rows: pa.Table) -> pa.Table:
+        s = Shard(rows, bits, np.uint64)
+        return s.answers(s.total(s.sent.astype(np.float64))[s.at])
+
+    often = asked(blocks, reps, ask, answer)
+    live = checkpoint(told(blocks, reps.union(often), lambda b, a: live_sets(b, a, width, percent), "cid binary, n long, keys array<long>, top array<int>"))
+    blocks.unpersist()
+    posted = live.select("cid", "n", "keys", F.explode("top").alias("pos")).select(F.expr("keys[pos]").alias("key"), "cid", "n", "pos")
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    live = checkpoint(posted.join(shared, "key").select("key", "cid", "n", "pos"))
-    members = some.select("doc_id", "n", "cid")
-    found = live.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    if live.isEmpty():
-        return members, components(found), live, None
-    # whole sets are sent only for classes that may be compared: a bitmap of fixed size keeps the others at home
-    maybe = spark.sparkContext.broadcast(bitmap_of(live, "cid"))
-    whole = checkpoint(sets(docs, width, percent, only=maybe).select("cid", "keys").dropDuplicates(["cid"]))
-    size = live.count()
-    labelled = live.withColumn("c", F.col("cid"))
-    before = None
+    return members, live.select("cid", "n", "keys"), checkpoint(posted.join(shared, "key", "left_semi"))
+
+
+def overlaps(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """a, b, na, nb, o of pairs of classes; b may be in any number of pairs: it is sent once for every FANOUT of them."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FANOUT).cast("int").alias("parts"))
+    right = parts.join(whole, parts.b == whole.cid).select("b", F.col("keys").alias("kb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    spread = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    left = spread.join(whole, spread.a == whole.cid).select("a", "b", "part", F.col("keys").alias("ka"))
+    return left.join(right, ["b", "part"]).select("a", "b", F.size("ka").alias("na"), F.size("kb").alias("nb"), F.size(F.array_intersect("ka", "kb")).alias("o"))
+
+
+def links_if(o: str, percent: int) -> str:
+    return f"{100 + percent} * ({o}) >= {percent} * (na + nb)"
+
+
+def connected(docs: DataFrame, width: int = 4, percent: int = 85, max_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members; components: node, root; index lists: key, cid, n, pos; sets: cid, n, keys) over classes of equal sets."""
+    members, whole, lists = prepared(docs, width, percent, max_chars)
+    found = lists.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    with_pivot = found.select("a", "b", *[F.lit(0).alias(c) for c in ("na", "nb", "o")])
+    turn, tried, linked = 0, 1, 1
     while True:
-        # one pivot of each list against all of the list that is not yet connected with it
-        pivot = labelled.groupBy("key").agg(F.min_by(F.struct("cid", "n", "c"), F.xxhash64("c", F.lit(before or 0))).alias("p"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("hi > lo").select("key", "p")
-        near = labelled.join(pivot, "key").where("c <> p.c").where(F.expr(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)"))
-        pairs = near.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
-        found = checkpoint(found.union(verified(pairs, whole, percent)))
         comp = components(found)
-        labelled = checkpoint(live.join(comp, live.cid == comp.node, "left").select(*live.columns, F.coalesce("root", "cid").alias("c")))
-        lists = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open"))
-        rest = lists.agg(F.sum("open")).first()[0] or 0
-        if rest == 0:
-            return members, comp, live, whole
-        if rest <= 8 * size or before is not None and rest > 0.7 * before:
+        labelled = checkpoint(lists.join(comp, lists.cid == comp.node, "left").select(*lists.columns, F.coalesce("root", "cid").alias("c")))
+        if 2 * linked < tried or not tried:  # most sets that are left link with no pivot
             break
-        before = rest
-    # what is left between components, list by list
-    pairs = opened(labelled, percent, "c <> c2", ["key"]).select("a", "b").distinct()
-    return members, components(found.union(verified(pairs, whole, percent))), live, whole
+        salt = F.lit(turn)
+        pivot = labelled.groupBy("key").agg(F.min_by(F.struct("cid", "n", "pos", "c"), F.struct(F.xxhash64("cid", salt), "cid")).alias("p"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("hi > lo").select("key", "p")
+        near = labelled.join(pivot, "key").where("c <> p.c").where(F.expr(may_link("n", "pos", "p.n", "p.pos", percent)))
+        pairs = checkpoint(near.groupBy(F.col("cid").alias("a")).agg(F.min_by("p.cid", F.struct(F.xxhash64("p.cid", salt), "p.cid")).alias("b")))
+        o = checkpoint(overlaps(pairs, whole))
+        new = o.where(links_if("o", percent)).select("a", "b")
+        tried, linked, turn = o.count(), new.count(), turn + 1
+        with_pivot, found = with_pivot.union(o), found.union(new)
+    # what remains between components, list by list
+    rest = opened(labelled, percent, "c <> c2", ["key"]).select("a", "b").distinct()
+    return members, components(found.union(derived(rest, with_pivot, whole, percent))), lists, whole
+
+
+def may_link(n: str, pos: str, m: str, pos_m: str, percent: int) -> str:
+    """Sizes n, m allow the threshold, and so do the overlaps that are possible from these positions on."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least({n} - {pos}, {m} - {pos_m}) * {100 + percent} >= {percent} * ({n} + {m})"
+
+
+def derived(pairs: DataFrame, with_pivot: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (a, b): from overlaps with a common pivot where these decide, else by comparing."""
+    base = with_pivot.groupBy("a").agg(F.min_by(F.struct(F.col("b").alias("p"), F.col("nb").alias("m"), "o", F.col("na").alias("n")), F.struct(-F.col("o"), "b")).alias("r"))
+    x, y = (base.select(F.col("a").alias(c), F.col("r").alias("r" + c)) for c in "ab")
+    both = pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"na": F.col("ra.n"), "nb": F.col("rb.n")})
+    same = "coalesce(ra.p = rb.p, false)"
+    high, low = links_if("least(ra.o, rb.o) + least(na - ra.o, nb - rb.o)", percent), links_if("ra.o + rb.o - ra.m", percent)
+    known = checkpoint(both.where(f"not {same} or {high}").select("a", "b", F.expr(f"{same} and {low}").alias("sure")))
+    return known.where("sure").select("a", "b").union(overlaps(known.where("not sure").select("a", "b"), whole).where(links_if("o", percent)).select("a", "b"))
 
 
 def opened(lists: DataFrame, percent: int, where: str, on: list[str]) -> DataFrame:
@@ -162,9 +182,8 @@ def opened(lists: DataFrame, percent: int, where: str, on: list[str]) -> DataFra
     block = F.floor(F.log(F.col("n").cast("double")) / step)
     left = lists.withColumn("block", block)
     right = lists.select(*on, F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), *([] if "c" in on else [F.col("c").alias("c2")]), F.explode(F.sequence(block - 1, block + 1)).alias("block"))
-    bound = F.expr(f"least(n - pos, n2 - pos2) * {100 + percent} >= {percent} * (n + n2)")
-    sized = F.expr("(n < n2 or n = n2 and cid < cid2)") & F.expr(f"100 * n >= {percent} * n2")
-    return left.join(right, [*on, "block"]).where(where).where(sized).where(bound).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"), "c")
+    once = F.expr("n < n2 or n = n2 and cid < cid2") & F.expr(may_link("n", "pos", "n2", "pos2", percent))
+    return left.join(right, [*on, "block"]).where(where).where(once).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"), "c")
 
 
 def answers(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -173,34 +192,32 @@ def answers(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFra
     The overlaps of all sets of a component with its root bound those among them from both sides; the whole
     sets are compared only where these bounds leave a pair open."""
     members, comp, live, whole = connected(docs, width, percent)
-    if whole is None:
-        return members, live.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    root = whole.select(F.col("cid").alias("root"), F.col("keys").alias("root_keys"))
-    near = checkpoint(comp.join(whole, comp.node == whole.cid).join(root, "root").select("node", F.size("keys").alias("n"), F.size("root_keys").alias("m"), F.size(F.array_intersect("keys", "root_keys")).alias("o")))
+    own = whole.join(comp, whole.cid == comp.node)
+    near = overlaps(own.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), whole)
+    roots = own.where("node = root").select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("n").alias("o"))
     lists = live.join(comp, live.cid == comp.node).select(*live.columns, F.col("root").alias("c"))
     pairs = opened(lists, percent, "true", ["c", "key"]).select("a", "b").distinct()
-    x, y = (near.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("o").alias("o" + c), *([F.col("m")] if c == "a" else [])) for c in "ab")
-    low, high = "oa + ob - m", "least(oa, ob) + least(na - oa, nb - ob)"
-    links = lambda o: F.expr(f"{100 + percent} * ({o}) >= {percent} * (na + nb)")
-    derived = checkpoint(pairs.join(x, "a").join(y, "b").where(links(high)).select("a", "b", links(low).alias("sure")))
-    return members, derived.where("sure").select("a", "b").union(verified(derived.where("not sure").select("a", "b"), whole, percent))
+    return members, derived(pairs, checkpoint(near.union(roots)), whole, percent)
 
 
 def link_counts(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_links of every row: how many other rows its text links with, equal sets included."""
     members, links = answers(docs, width, percent)
-    weight = members.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("w"))
+    weight = members.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("w"))
     ends = links.select("a", "b").union(links.select("b", "a"))
     more = ends.join(weight, ends.b == weight.cid).groupBy("a").agg(F.sum("w").alias("k"))
     per = weight.join(more, weight.cid == more.a, "left").select("cid", (F.col("w") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"))
-    return members.join(per, "cid", "left").select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+    return members.join(per, "cid", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+def groups(docs: DataFrame, width: int = 4, percent: int = 85, max_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    members, comp, _, _ = connected(docs, width, percent)
-    rows = members.join(comp, members.cid == comp.node, "left").select("doc_id", "n", F.coalesce("root", "cid").alias("root"))
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    return rows.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    members, comp, _, _ = connected(docs, width, percent, max_chars)
+    classes = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(comp, classes.cid == comp.node, "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
+    least = classes.groupBy("root").agg(F.min("least").alias("component"))
+    found = classes.join(least, "root").select("cid", "component")
+    # a class of very many rows has one row a block here, so that no key of the two joins is hot
+    per_block = members.where("cid is not null").select("cid", "block").distinct().join(found, "cid")
+    rows = members.join(per_block, ["cid", "block"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
