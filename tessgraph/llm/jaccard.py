@@ -6,9 +6,9 @@ every class is ordered from its rarest shingle on, and its first ones go into in
 of one class alone need no list, so a text that has too many of them to link with anything is left out at once.
 
 Lists are opened by blocks of set sizes and positions: sizes must allow the threshold, positions bound the overlap
-that is still possible, and other blocks are skipped. In each list all sets are compared with one pivot set, the
-same in as many lists as possible: one comparison a set and round. Sets linked with one pivot are connected. What
-is left between components is derived from the overlaps with a common pivot: they bound the overlap of two sets from
+that is still possible, and other blocks are skipped. In each list all sets are compared with a few pivot sets, the
+same in as many lists as possible: a round takes PIVOTS comparisons a list entry at most. Sets linked with one pivot
+are connected. What is left between components is derived from the overlaps with a common pivot: they bound the overlap of two sets from
 both sides, and only pairs that the bounds leave open are compared. groups() needs no links inside a component;
 answers() gives these too, derived in the same way from the overlaps with the component's root.
 
@@ -30,8 +30,12 @@ from .blocks import ANSWER, BLOCK_CHARS, Block, Shard, asked, blocks_of, distinc
 from .common import checkpoint, components, mix
 
 FIRST, FREQUENCY = 0, 1
+#: Pivots of a list and round. The same hash picks them in all lists, so that lists share them.
+PIVOTS = 8
 #: Comparisons with one pivot that one task takes.
 FANOUT = 2048
+#: Rows of 32 bytes that are broadcast at most.
+BROADCAST_ROWS = 200_000
 MEMBER = "doc_id long, n long, cid binary, block long, at long"
 
 
@@ -139,25 +143,40 @@ def links_if(o: str, percent: int) -> str:
 def connected(docs: DataFrame, width: int = 4, percent: int = 85, max_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(members; components: node, root; index lists: key, cid, n, pos; sets: cid, n, keys) over classes of equal sets."""
     members, whole, lists = prepared(docs, width, percent, max_chars)
-    found = lists.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    with_pivot = found.select("a", "b", *[F.lit(0).alias(c) for c in ("na", "nb", "o")])
-    turn, tried, linked = 0, 1, 1
+    label = checkpoint(lists.select("cid", F.col("cid").alias("c")).distinct())
+    with_pivot, turn = None, 0
     while True:
-        comp = components(found)
-        labelled = checkpoint(lists.join(comp, lists.cid == comp.node, "left").select(*lists.columns, F.coalesce("root", "cid").alias("c")))
-        if 2 * linked < tried or not tried:  # most sets that are left link with no pivot
-            break
-        salt = F.lit(turn)
-        pivot = labelled.groupBy("key").agg(F.min_by(F.struct("cid", "n", "pos", "c"), F.struct(F.xxhash64("cid", salt), "cid")).alias("p"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("hi > lo").select("key", "p")
+        labelled = lists.join(label, "cid")
+        by_hash = [F.min_by(F.struct("cid", "n", "pos", "c"), F.struct(F.xxhash64("cid", F.lit(PIVOTS * turn + k)), "cid")) for k in range(PIVOTS)]
+        pivot = labelled.groupBy("key").agg(F.array_distinct(F.array(*by_hash)).alias("ps"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("hi > lo").select("key", F.explode("ps").alias("p"))
         near = labelled.join(pivot, "key").where("c <> p.c").where(F.expr(may_link("n", "pos", "p.n", "p.pos", percent)))
-        pairs = checkpoint(near.groupBy(F.col("cid").alias("a")).agg(F.min_by("p.cid", F.struct(F.xxhash64("p.cid", salt), "p.cid")).alias("b")))
-        o = checkpoint(overlaps(pairs, whole))
-        new = o.where(links_if("o", percent)).select("a", "b")
-        tried, linked, turn = o.count(), new.count(), turn + 1
-        with_pivot, found = with_pivot.union(o), found.union(new)
-    # what remains between components, list by list
-    rest = opened(labelled, percent, "c <> c2", ["key"]).select("a", "b").distinct()
-    return members, components(found.union(derived(rest, with_pivot, whole, percent))), lists, whole
+        pairs = checkpoint(near.select(F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("p.cid").alias("b"), F.col("p.c").alias("cb")).distinct())
+        tried = pairs.count()
+        if not tried:
+            break
+        o = checkpoint(overlaps(pairs.select("a", "b"), whole))
+        with_pivot = o if with_pivot is None else with_pivot.union(o)
+        linked = o.where(links_if("o", percent)).select("a", "b")
+        new = checkpoint(pairs.join(linked, ["a", "b"], "left_semi").select("ca", "cb").distinct())
+        label = relabelled(label, new)
+        turn += 1
+        if 50 * new.count() < tried:  # the sets that are left hardly link with any pivot
+            break
+    if with_pivot is not None:
+        # what remains between components, list by list
+        rest = opened(lists.join(label, "cid"), percent, "c <> c2", ["key"]).select("a", "b").distinct()
+        links = derived(rest, with_pivot, whole, percent)
+        of = lambda end: label.select(F.col("cid").alias(end), F.col("c").alias("c" + end))
+        label = relabelled(label, checkpoint(links.join(of("a"), "a").join(of("b"), "b").select("ca", "cb").distinct()))
+    return members, label.select(F.col("cid").alias("node"), F.col("c").alias("root")), lists, whole
+
+
+def relabelled(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """label (cid, c) after the components ca and cb of every edge have become one."""
+    roots = components(edges, "ca", "cb")
+    # a component of very many classes is one hot key: small tables of changes are broadcast, others left to skew joins
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    return checkpoint(label.join(roots, F.col("c") == F.col("node"), "left").select("cid", F.coalesce("root", "c").alias("c")))
 
 
 def may_link(n: str, pos: str, m: str, pos_m: str, percent: int) -> str:
