@@ -41,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library has written and that nothing reads any more, through Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_chars: int = SLICE_CHARS, values: bool = True) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows of at most max_chars characters (one row at least), with their texts (if values); null is an empty text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -5,7 +5,7 @@ the pieces between matches. Weak parts (a bare secret, an endpoint) are reported
 has the parts that complete a credential, at any distance: identifiers, secrets and endpoints are joined
 inside each row on its few candidates, so nothing is shuffled.
 
-Null text is the empty text; empty tables give empty tables; rows are kept one for one; extra columns
+Null text is the empty text (redact() leaves it null); ties in start are sorted by kind; repeated rows get equal results; empty tables give empty tables; rows are kept one for one; extra columns
 are ignored by scan() and kept by redact().
 """
 
@@ -45,15 +45,23 @@ def overlap(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with _base and _spans, both sorted by start and kind."""
+def with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """(docs with two more columns of spans sorted by start and kind, the name of the base ones, the name of all).
+
+    Helper columns have a prefix that no column of docs begins with."""
+    pre = "_"
+    while any(c.lower().startswith(pre) for c in docs.columns):
+        pre += "_"
+    names = {"assign": (ASSIGN, 0, 2, 6), "access": (ACCESS, 1), "hex": (HEX, 2), "ident": (IDENT, 9), "bare": (BARE, 3), "end": (ENDPOINT, 4)}
     t = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumns({"_assign": spans_of(t, ASSIGN, 0, 2, 6), "_access": spans_of(t, ACCESS, 1), "_hex": spans_of(t, HEX, 2), "_ident": spans_of(t, IDENT, 9), "_bare": spans_of(t, BARE, 3), "_end": spans_of(t, ENDPOINT, 4)})
-    df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    ids, keys = F.concat("_access", "_ident"), F.concat("_assign", "_hex", "_bare")
-    bare = F.filter("_bare", lambda w: (F.size(ids) > 0) & ~F.exists("_base", lambda b: overlap(w, b)))
-    ends = F.filter("_end", lambda w: (F.size(ids) > 0) & F.exists(keys, lambda k: ~overlap(w, k)))
-    return df.withColumn("_spans", F.array_sort(F.concat("_base", bare, ends))).drop("_assign", "_access", "_hex", "_ident", "_bare", "_end")
+    df = docs.withColumns({pre + n: spans_of(t, *how) for n, how in names.items()})
+    c = lambda *ns: F.concat(*[F.col(pre + n) for n in ns])
+    df = df.withColumn(pre + "base", F.array_sort(c("assign", "access", "hex")))
+    ids, keys = c("access", "ident"), c("assign", "hex", "bare")
+    bare = F.filter(pre + "bare", lambda w: (F.size(ids) > 0) & ~F.exists(pre + "base", lambda b: overlap(w, b)))
+    ends = F.filter(pre + "end", lambda w: (F.size(ids) > 0) & F.exists(keys, lambda k: ~overlap(w, k)))
+    df = df.withColumn(pre + "spans", F.array_sort(F.concat(pre + "base", bare, ends)))
+    return df.drop(*[pre + n for n in names]), pre + "base", pre + "spans"
 
 
 def written(spans: str) -> Column:
@@ -63,23 +71,23 @@ def written(spans: str) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
-    df = with_spans(docs.select("doc_id", "text"))
-    counts = [F.size(F.filter("_base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return df.select("doc_id", *counts, F.sha2(written("_base").cast("binary"), 256).alias("base_sha256"), written("_spans").alias("spans"))
+    df, base, spans = with_spans(docs.select("doc_id", "text"))
+    counts = [F.size(F.filter(base, lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return df.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every reported span of text replaced by mask; all other columns stay, n_chars follows the text."""
     cols = docs.columns
-    df = with_spans(docs)
+    df, _, spans = with_spans(docs)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(acc, p):
         piece = F.substring(F.col("text"), acc["at"] + 1, F.greatest(p["s"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], p["e"]).alias("at"), F.when(p["s"] >= acc["at"], F.concat(acc["out"], F.array(piece, F.lit(mask)))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    df = df.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
+    done = F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    df = df.withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text")))
     if "n_chars" in cols:
-        df = df.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        df = df.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return df.select(*cols)

@@ -238,6 +238,31 @@ def test_html(spark):
     assert html_text.pages_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><h1>T</h1><p>See <a>this long linked sentence here</a>.</p><p>Body text.</p></article>", "T\nSee this long linked sentence here.\nBody text."),
+    ("<article><p class='side note'>Aside.</p><p class=ad>Buy</p><div class='ad'>Buy</div><p>x</p></article>", "Aside.\nx"),
+    ("<article><ul><li><a>one</a><li>two<li><a>three</a></ul></article><nav>no</nav>", "one\ntwo\nthree"),
+    ("<body><p>xyzzy plugh</p></body>", "xyzzy plugh"), ("<article></article>", ""), ("<p>&lt;b&gt; &#233;&nbsp;x</p>", "<b> é x")])
+def test_html_article_is_whole(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_html_cost_grows_with_the_page():
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        start = time.process_time()
+        assert len(html_text.extract("<article>" + "<span>w <i>x" * n + "</article>")) == 3 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_redact_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", "keep", 5)], "doc_id long, text string, _base string, __spans int")
+    assert [tuple(r) for r in secrets.redact(df).collect()] == [(1, "[SECRET]", "keep", 5)]
+
+
 def test_jaccard(spark, docs, none):
     many = [" ".join(f"w{(i * 7 + j) % 97 if j % 29 == i % 29 else j}" for j in range(80)) for i in range(40)]
     more = spark.createDataFrame([(100 + i, t, None, None, None, None) for i, t in enumerate(many)], SCHEMA)
