@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df under the shared folder that the session names in spark.checkpoint.dir; sets a folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """Writes df under the shared folder that the session names in spark.checkpoint.dir; a local master (tests) gets a temporary one where none is set."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
