@@ -9,7 +9,6 @@ packed, and what a block knows is computed again from its words and the answers:
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hash_words, text_slices
+from .common import checkpoint, hash_words, text_slices, tidy
 
 #: Characters of a block (or one longer document), and keys of a shard.
 BLOCK_CHARS, SHARD_KEYS = 1 << 22, 1 << 21
@@ -202,10 +201,8 @@ def asked(blocks: DataFrame, answers: DataFrame | None, ask, answer) -> DataFram
     """One round: all blocks ask, all shards answer; the answers are written."""
     questions = told(blocks, answers, ask, ASKED)
     out = checkpoint(questions.groupBy("kind", "level", "shard").applyInArrow(lambda rows: answer(rows), ANSWER))
-    # Spark's cleaner removes the files of shuffles that nothing refers to any more once both collectors have seen that
     del questions
-    gc.collect()
-    blocks.sparkSession._jvm.System.gc()
+    tidy(blocks.sparkSession)
     return out
 
 

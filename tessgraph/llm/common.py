@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 1 << 20
 #: Bits of the bitmaps that tell scorers which keys may matter.
 BITS = 1 << 24
+#: Edges that one task joins.
+ONE_TASK_EDGES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,13 +110,43 @@ def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the files of shuffles and checkpoints that nothing refers to any more, now that both collectors see it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) from all edges (u, v) that the task gets, by union-find."""
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            up.setdefault(u, u), up.setdefault(v, v)
+            u, v = root(u), root(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], names=["node", "root"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): root is the smallest node reachable. Large-star and small-star rounds until nothing changes.
+    """(node, root): root is the smallest node reachable. At most ONE_TASK_EDGES edges are joined by one task; more take
+    large-star and small-star rounds until nothing changes.
 
     The rounds are joins and aggregates on node ids with a checkpoint each; only a count of changed rows reaches the driver."""
     e = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    n = e.count()
+    if n <= ONE_TASK_EDGES:
+        kind = e.schema["u"].dataType.simpleString()
+        return checkpoint(e.coalesce(1).mapInArrow(joined, f"node {kind}, root {kind}"))
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -124,6 +157,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if nxt.exceptAll(e).isEmpty() and nxt.count() == e.count():
             break
         e = nxt
+        tidy(edges.sparkSession)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

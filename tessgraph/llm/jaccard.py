@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ANSWER, BLOCK_CHARS, Block, Shard, asked, blocks_of, distinct, question, shard_bits, squeeze, told
-from .common import checkpoint, components, mix
+from .common import checkpoint, components, mix, tidy
 
 FIRST, FREQUENCY = 0, 1
 #: Pivots of a list and round. The same hash picks them in all lists, so that lists share them.
@@ -122,6 +122,7 @@ def prepared(docs: DataFrame, width: int, percent: int, max_chars: int) -> tuple
     often = asked(blocks, reps, ask, answer)
     live = checkpoint(told(blocks, reps.union(often), lambda b, a: live_sets(b, a, width, percent), "cid binary, n long, keys array<long>, top array<int>"))
     blocks.unpersist()
+    tidy(docs.sparkSession)
     posted = live.select("cid", "n", "keys", F.explode("top").alias("pos")).select(F.expr("keys[pos]").alias("key"), "cid", "n", "pos")
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     return members, live.select("cid", "n", "keys"), checkpoint(posted.join(shared, "key", "left_semi"))
@@ -160,6 +161,7 @@ def connected(docs: DataFrame, width: int = 4, percent: int = 85, max_chars: int
         new = checkpoint(pairs.join(linked, ["a", "b"], "left_semi").select("ca", "cb").distinct())
         label = relabelled(label, new)
         turn += 1
+        tidy(docs.sparkSession)
         if 50 * new.count() < tried:  # the sets that are left hardly link with any pivot
             break
     if with_pivot is not None:

@@ -263,6 +263,17 @@ def test_redact_keeps_clashing_columns(spark):
     assert [tuple(r) for r in secrets.redact(df).collect()] == [(1, "[SECRET]", "keep", 5)]
 
 
+@pytest.mark.parametrize("bound", [0, 100])
+def test_components(spark, bound, monkeypatch):
+    from tessgraph.llm import common
+
+    monkeypatch.setattr(common, "ONE_TASK_EDGES", bound)
+    df = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5), (12, 3)], "a long, b long")
+    got = {(r.node, r.root) for r in common.components(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (12, 1), (7, 7), (8, 7), (9, 7)}
+    assert common.components(df.limit(0)).count() == 0
+
+
 def test_jaccard(spark, docs, none):
     many = [" ".join(f"w{(i * 7 + j) % 97 if j % 29 == i % 29 else j}" for j in range(80)) for i in range(40)]
     more = spark.createDataFrame([(100 + i, t, None, None, None, None) for i, t in enumerate(many)], SCHEMA)
