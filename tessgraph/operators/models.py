@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.state import checkpoint
@@ -42,20 +42,40 @@ def loss_augmented(scores: DataFrame, truth: DataFrame, class_weight: Column) ->
     return best_label(scores.join(t, "sid").select("sid", "label", aug.alias("score")))
 
 
-def pair_table(edges: DataFrame, labels: DataFrame, classes: int, modulus: int = 11) -> DataFrame:
-    """Pairwise term of every edge: cumulative over gradient levels, indexed by hi_label * classes + lo_label.
+def pair_model(spark: SparkSession, weights: list[float], classes: int, levels: int, orientations: int = 1, distances: int = 1) -> DataFrame:
+    """Pairwise weights as rows (distance_idx, orientation_idx, gradient_idx, pair, weight), cumulative over gradient levels.
 
-    The weight of (level, pair) is the integer formula of the fixtures, (37 * position) mod modulus - 5."""
-    e = with_ends(edges, labels, "label")
-    pair = F.col("hi_label") * classes + F.col("lo_label")
-    term = F.aggregate(F.sequence(ONE(0), F.col("gradient_idx")), ONE(0).cast("long"), lambda a, g: a + ((g * classes * classes + pair) * 37 % modulus - 5).cast("long"))
-    return e.select("hi", "lo", pair.cast("long").alias("pair"), term.alias("weight"))
+    weights is the pairwise part of a model: level major, then distance, orientation, and higher label * classes + lower label."""
+    pairs = classes * classes
+    step = pairs * orientations * distances
+    if len(weights) != step * levels:
+        raise ValueError(f"{len(weights)} pairwise weights, expected {step * levels}")
+    rows = []
+    for at in range(step):
+        total = 0.0
+        for g in range(levels):
+            total += float(weights[g * step + at])
+            rows.append((at // (pairs * orientations), at // pairs % orientations, g, at % pairs, total))
+    return spark.createDataFrame(rows, "distance_idx int, orientation_idx int, gradient_idx int, pair long, weight double")
+
+
+def pair_table(edges: DataFrame, labels: DataFrame, model: DataFrame, classes: int) -> DataFrame:
+    """Pairwise term of every edge under a labeling: by its bins and by the label of its higher end * classes + that of its lower end.
+
+    Edges have gradient_idx, and orientation_idx and distance_idx if the model tells these apart."""
+    e = with_ends(edges, labels, "label").withColumn("pair", (F.col("hi_label") * classes + F.col("lo_label")).cast("long"))
+    on = [c for c in ("distance_idx", "orientation_idx", "gradient_idx") if c in edges.columns] + ["pair"]
+    if "distance_idx" not in on:
+        model = model.where("distance_idx = 0")
+    if "orientation_idx" not in on:
+        model = model.where("orientation_idx = 0")
+    return e.join(model, on).select("hi", "lo", "pair", "weight")
 
 
 def crf_energy(scores: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """Energy of a labeling: minus the sum of its node scores minus the sum of its edge terms."""
     node = scores.join(labels, ["sid", "label"]).agg(F.sum("score").alias("node"))
-    edge = pairs.agg(F.coalesce(F.sum("weight"), ONE(0)).alias("edge"))
+    edge = pairs.agg(F.coalesce(F.sum("weight"), ONE(0.0)).alias("edge"))
     return node.crossJoin(edge).select(F.round("node", 6).alias("node"), "edge", F.round(-F.col("node") - F.col("edge"), 6).alias("energy"))  # one row each
 
 
@@ -123,10 +143,10 @@ def majority(px: DataFrame, label: str = "gt") -> DataFrame:
 
 
 def vote(labelings: list[tuple[DataFrame, float]]) -> DataFrame:
-    """Weighted vote of binary labelings: foreground where the weighted sum exceeds a third of all weight."""
+    """Weighted vote of binary labelings: foreground where the weighted sum, divided by their number, exceeds a third of all weight."""
     total = sum(a for _, a in labelings)
     rows = reduce(DataFrame.unionByName, [d.select("sid", (F.col("label") * ONE(a)).alias("v")) for d, a in labelings])
-    return rows.groupBy("sid").agg(F.when(F.sum("v") > ONE(total / 3), 1).otherwise(0).alias("label"))
+    return rows.groupBy("sid").agg(F.when(F.sum("v") / len(labelings) > ONE(total / 3), 1).otherwise(0).alias("label"))
 
 
 def boundary_postprocess(guess: DataFrame, truth: DataFrame, edges: DataFrame) -> DataFrame:

@@ -45,9 +45,9 @@ def edge_attributes(edges: DataFrame, node: DataFrame, levels: int = 5, top: flo
     e = with_ends(edges, node, "mean", "cx", "cy")
     grad = F.least(F.expr(f"cast(abs(hi_mean - lo_mean) / {top} * {levels} + 0.5 as int)"), ONE(levels - 1))
     dx, dy = F.col("hi_cx") - F.col("lo_cx"), F.col("hi_cy") - F.col("lo_cy")
-    angle = F.degrees(F.atan2(dy.cast("double"), dx.cast("double")))
-    angle = F.floor(F.when(angle < 0, angle + 360).otherwise(angle))
-    orient = F.when(angle.between(45, 135), 1).when(angle.between(225, 315), 2).otherwise(0)
+    # truncated degrees, always plus 180; the bins' ends belong to bin 0
+    angle = F.degrees(F.atan2(dy.cast("double"), dx.cast("double"))).cast("int") + 180
+    orient = F.when((angle > 45) & (angle < 135), 1).when((angle > 225) & (angle < 315), 2).otherwise(0)
     dist = F.least((((dx * dx + dy * dy) / 500.0 * n_dist) + 0.5).cast("int"), ONE(n_dist - 1))
     return e.select("hi", "lo", grad.alias("gradient_idx"), orient.alias("orientation_idx"), dist.alias("distance_idx"))
 
@@ -134,13 +134,22 @@ def energy(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rescaled(px: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Gray values clipped at the cumulative shares low and high and stretched to 0..255, truncated."""
+    """Gray values stretched between two order statistics to 0..255, clipped and truncated.
+
+    Both limits are found by a running count that reaches the truncated share of the pixels. The count for the upper one
+    goes on from the lower limit's bin and takes that bin a second time: the defined behaviour, kept on purpose. If both
+    limits are one value, what lies above it becomes 255 and the rest 0."""
     from pyspark.sql import Window
 
     h = px.groupBy("v").agg(F.count(ONE(1)).alias("n"))  # at most 256 rows
-    c = h.withColumn("c", F.sum("n").over(Window.orderBy("v")) / F.sum("n").over(Window.partitionBy()))
-    b = c.agg(F.min(F.when(F.col("c") >= low, F.col("v"))).alias("lo"), F.min(F.when(F.col("c") >= high, F.col("v"))).alias("hi"))
-    return px.crossJoin(F.broadcast(b)).select("k", F.expr("cast((least(greatest(v, lo), hi) - lo) * 255.0 / (hi - lo) as int)").alias("v"))
+    total = F.sum("n").over(Window.partitionBy())
+    c = h.select("v", "n", F.sum("n").over(Window.orderBy("v")).alias("c"), total.alias("t")).withColumns({"few": F.expr(f"cast(t * {low}D as int)"), "most": F.expr(f"cast(t * {high}D as int)")})
+    lo = c.agg(F.when(F.first("few") == 0, 0).otherwise(F.min(F.when(F.col("c") >= F.col("few"), F.col("v")))).alias("lo"))
+    at = c.crossJoin(F.broadcast(lo))  # one row
+    again = at.agg(F.coalesce(F.sum(F.when(F.col("v") == F.col("lo"), F.col("n"))), ONE(0)).alias("again"))
+    b = at.crossJoin(F.broadcast(again)).where("v >= lo and c + again >= most").agg(F.min("lo").alias("lo"), F.min("v").alias("hi"))
+    scaled = F.when(F.col("hi") == F.col("lo"), F.when(F.col("v") > F.col("hi"), 255).otherwise(0)).otherwise(F.expr("cast(greatest(least((v - lo) / cast(hi - lo as double) * 255, 255D), 0D) as int)"))
+    return px.crossJoin(F.broadcast(b)).select("k", scaled.alias("v"))
 
 
 def z_scores(vectors: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ query("region_deviation", "SELECT px.sid, any_value(mean) AS mean, sum(CAST(trun
 query("adjacency_2d", "SELECT hi, lo FROM edge")(lambda s, d: graph(s, d)[2])
 query("adjacency_3d", "SELECT DISTINCT p.sid AS hi, q.sid AS lo FROM px p, m, d a, d b, d c, px q WHERE p.x > 0 AND p.x < mx AND p.y > 0 AND p.y < my AND p.z > 0 AND p.z < mz AND q.x = p.x + a.d AND q.y = p.y + b.d AND q.z = p.z + c.d AND p.sid > q.sid", VX)(lambda s, d: R.adjacency(voxels(s, d), ("x", "y", "z")))
 query("edge_attributes", """, e AS (SELECT hi, lo, a.mean - b.mean AS g, a.cx - b.cx AS dx, a.cy - b.cy AS dy FROM edge JOIN node a ON a.sid = hi JOIN node b ON b.sid = lo),
-t AS (SELECT *, degrees(atan2(dy, dx)) AS r FROM e), u AS (SELECT *, floor(CASE WHEN r < 0 THEN r + 360 ELSE r END) AS ang FROM t)
-SELECT hi, lo, least(CAST(trunc(abs(g) / 115.0::DOUBLE * 5 + 0.5) AS INT), 4) AS gradient_idx, CASE WHEN ang BETWEEN 45 AND 135 THEN 1 WHEN ang BETWEEN 225 AND 315 THEN 2 ELSE 0 END AS orientation_idx,
+u AS (SELECT *, CAST(trunc(degrees(atan2(dy, dx))) AS INT) + 180 AS ang FROM e)
+SELECT hi, lo, least(CAST(trunc(abs(g) / 115.0::DOUBLE * 5 + 0.5) AS INT), 4) AS gradient_idx, CASE WHEN ang > 45 AND ang < 135 THEN 1 WHEN ang > 225 AND ang < 315 THEN 2 ELSE 0 END AS orientation_idx,
 least(CAST(trunc((dx * dx + dy * dy) / 500.0::DOUBLE * 3 + 0.5) AS INT), 2) AS distance_idx FROM u""")(lambda s, d: R.edge_attributes(graph(s, d)[2], graph(s, d)[1]))
 query("long_range_edges", "SELECT a.sid AS hi, b.sid AS lo FROM node a, node b WHERE a.sid > b.sid AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) < 500")(lambda s, d: R.long_edges(R.stats(pixels(s, d))))
 query("plurality_labels", "SELECT sid, label FROM lab")(lambda s, d: R.plurality(pixels(s, d)))
@@ -68,5 +68,8 @@ for _name, _grow, _agg in (("dilate", True, "max"), ("erode", False, "min")):
     query(_name, f", r AS (SELECT unnest(range(-3, 4)) AS r) SELECT p.x, p.y, {_agg}(CASE WHEN q.gt = 1 THEN 1 ELSE 0 END) AS out FROM px p, r a, r b, px q WHERE a.r * a.r + b.r * b.r <= 9 AND q.x = p.x + a.r AND q.y = p.y + b.r GROUP BY p.x, p.y")(lambda s, d, g=_grow: R.morphology(pixels(s, d), g))
 query("argmax_labels", "SELECT sid, CASE WHEN mean * 0.5 > mean * 0.25 THEN 1 ELSE 0 END AS label FROM node")(lambda s, d: R.labels_by_score(R.stats(pixels(s, d)), [0.25, 0.5, 0.5]))
 query("potts_energy", "SELECT count(*) AS n_edges, CAST(sum(CASE WHEN a.label <> b.label THEN 1 ELSE 0 END) AS BIGINT) AS cut_edges FROM edge JOIN lab a ON a.sid = hi JOIN lab b ON b.sid = lo")(lambda s, d: R.energy(R.plurality(pixels(s, d)), graph(s, d)[2]))
-query("rescale_raw", ", g AS (SELECT v, count(*) AS n FROM px GROUP BY v), c AS (SELECT v, sum(n) OVER (ORDER BY v) / (SELECT count(*) FROM px) AS c FROM g), b AS (SELECT min(v) FILTER (c >= 0.01) AS lo, min(v) FILTER (c >= 0.99) AS hi FROM c) SELECT k, CAST(trunc((least(greatest(v, lo), hi) - lo) * 255.0 / (hi - lo)) AS INT) AS v FROM px, b")(lambda s, d: R.rescaled(pixels(s, d)))
+query("rescale_raw", """, g AS (SELECT v, count(*) AS n FROM px GROUP BY v), t AS (SELECT count(*) AS t FROM px), c AS (SELECT v, n, sum(n) OVER (ORDER BY v) AS c FROM g),
+lo AS (SELECT CASE WHEN trunc(t * 0.01::DOUBLE) = 0 THEN 0 ELSE (SELECT min(v) FROM c WHERE c >= trunc(t * 0.01::DOUBLE)) END AS lo FROM t),
+hi AS (SELECT min(v) AS hi FROM c, lo, t WHERE v >= lo AND c + (SELECT coalesce(sum(n), 0) FROM g, lo WHERE v = lo) >= trunc(t * 0.99::DOUBLE))
+SELECT k, CASE WHEN hi = lo THEN CASE WHEN v > hi THEN 255 ELSE 0 END ELSE CAST(trunc(greatest(least((v - lo) / (hi - lo)::DOUBLE * 255, 255), 0)) AS INT) END AS v FROM px, lo, hi""")(lambda s, d: R.rescaled(pixels(s, d)))
 query("z_score_features", "WITH l AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT dim, avg(x) AS m, avg(x * x) - avg(x) * avg(x) AS var FROM l GROUP BY dim) SELECT vec_id, CAST(l.dim AS INT) AS dim, round((x - m) / CASE WHEN var > 0 THEN sqrt(var) ELSE 1 END, 6) AS z FROM l JOIN m ON l.dim = m.dim", "")(lambda s, d: R.z_scores(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")))
