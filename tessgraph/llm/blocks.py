@@ -127,29 +127,35 @@ class Block:
             words, keys = np.insert(words, stops, len(keys)), np.append(keys, np.uint64(end))
             self.counts = self.counts + 1
         self.keys, self.words = keys, words
-        self.known: dict = {}
+        self.known: dict[tuple[int, int], list[bytes]] = {}
         if answers is not None:
             rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "level", "shard", "known")), strict=True), key=lambda r: r[:3])
             for kind, level, _, known in rows:
-                self.known.setdefault((kind, level), []).append(spread(known, np.uint64))
-        self.known = {k: np.concatenate(v) for k, v in self.known.items()}
+                self.known.setdefault((kind, level), []).append(known)
+
+    def given(self, kind: int, level: int) -> np.ndarray:
+        """The numbers of that kind and level in order of the shards, none if there are none."""
+        return np.concatenate([np.zeros(0, np.uint64), *(spread(b, np.uint64) for b in self.known.get((kind, level), []))])
 
     def answer(self, kind: int, level: int, n: int) -> np.ndarray:
         """The answers to the n keys of that question."""
-        got = self.known.get((kind, level), np.zeros(0, np.uint64))
+        got = self.given(kind, level)
         if len(got) != n:
             raise ValueError(f"block {self.block} asked for {n} keys, and got {len(got)} answers")
         return got
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """np.unique with first index and inverse, by hashing: only the distinct keys are sorted."""
+def distinct(keys: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """np.unique with first index (if places) and inverse, by hashing: only the distinct keys are sorted."""
     import pandas as pd
 
     codes, found = pd.factorize(keys)
     order = np.argsort(found)
-    rank, first = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
+    if not places:
+        return found[order], None, rank[codes]
+    first = np.empty(len(order), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     return found[order], first[order], rank[codes]
 

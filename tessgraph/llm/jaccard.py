@@ -82,7 +82,7 @@ def chosen(rows: pa.Table) -> pa.Table:
 def own_sets(row: pa.Table, got: pa.Table | None, width: int) -> tuple[Block, list[np.ndarray], np.ndarray, np.ndarray]:
     """(block, sets that stand for their class, their distinct keys, how many of the sets have each)."""
     b = Block(row, got)
-    first = set(b.known.get((FIRST, 0), np.zeros(0, np.uint64)).tolist())
+    first = set(b.given(FIRST, 0).tolist())
     sets = [s for i, s in enumerate(shingles(b, width)) if i in first]
     keys, _, inv = distinct(np.concatenate([np.zeros(0, np.uint64), *sets]))
     return b, sets, keys, np.bincount(inv, minlength=len(keys)).astype(np.uint64)

@@ -9,7 +9,8 @@ the longest retained suffix of what precedes it in its document. Growing ends wi
 The tree grows with the corpus and stays distributed: shards of the key space hold its counts, and blocks of
 documents ask for what their own tokens need (see blocks.py). Level d takes one question for the pairs
 (context of d tokens, next token) and, a round later, one for the contexts; pairs of level d+1 go with the
-contexts of level d. A pair is counted, here and in c(s), only if its shorter pair (suffix, token) is counted
+contexts of level d. Few positions reach the deeper levels: from round SAVED on a block's question carries
+where it stands, the shards hand that back, and the next round goes on from there instead of from level 1. A pair is counted, here and in c(s), only if its shorter pair (suffix, token) is counted
 twice or more: a token seen once after a context tells nothing more after a longer one.
 
 Null or blank text: the end token alone. Repeated rows get one equal result each. Null doc_id: its
@@ -26,13 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import BLOCK_CHARS, Block, Shard, asked, blocks_of, distinct, question, shard_bits, summary, told
+from .blocks import BLOCK_CHARS, Block, Shard, asked, blocks_of, distinct, question, shard_bits, spread, spread_words, squeeze, squeeze_words, summary, told
 from .common import mix
 
 ALPHA, PRICE = 2.0, 4.0
 END = 0x5EED
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-PAIR, CONTEXT = 0, 1
+PAIR, CONTEXT, STATE = 0, 1, 2
+#: The first round that hands its state on.
+SAVED = 4
 
 
 def held_out(doc_id, folds: int, fold: int) -> bool:
@@ -47,41 +50,85 @@ def gain(c: np.ndarray, repeated: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return terms + (c - repeated) * np.log(ALPHA) - c * np.log(np.maximum(c - 1, 0) + ALPHA)
 
 
+def of_words(words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """distinct() of the contexts of one token, given as indices of words: nothing but the words is hashed."""
+    used = np.flatnonzero(np.bincount(words, minlength=len(keys)))
+    with np.errstate(over="ignore"):
+        h = mix(GOLD + keys[used])
+    order, rank = np.argsort(h), np.empty(len(keys), np.int64)
+    rank[used[order]] = np.arange(len(order))
+    return h[order], rank[words]
+
+
+def save(at: np.ndarray, known: np.ndarray, stay: np.ndarray, p: np.ndarray) -> bytes:
+    """Candidates of a level: positions, if their shorter pair is known, if their shorter context is retained, and p where both hold."""
+    parts = [squeeze_words(np.diff(at, prepend=0)), squeeze(known.astype(np.uint8) | stay.astype(np.uint8) << 1), squeeze(p[at[known & stay]])]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def load(b: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(at, before, kept, p) as save() got them; p elsewhere is not needed any more, and nan."""
+    parts = []
+    while b:
+        size = 8 + int.from_bytes(b[:8], "little")
+        parts.append(b[8:size])
+        b = b[size:]
+    at, bits = np.cumsum(spread_words(parts[0])), spread(parts[1], np.uint8)
+    kept, p = np.zeros(n, bool), np.full(n, np.nan)
+    kept[at] = bits >= 2
+    p[at[bits == 3]] = spread(parts[2], np.float64)
+    return at, (bits & 1).astype(np.int64) * 2, kept, p
+
+
 class Walk:
     """A block's positions, level by level, as far as the first k rounds of answers go.
 
     p: the probability of every token by its longest retained context so far; questions: the distinct keys
-    to ask for in this round, with what the block itself has to add, as (kind, level, keys, numbers)."""
+    to ask for in this round, with what the block itself has to add, as (kind, level, keys, numbers); state: the
+    candidates of level k-1, from which the next round goes on if this round was SAVED or later (resume)."""
 
-    def __init__(self, block: Block, k: int, folds: int, fold: int, totals: tuple[float, float] | None):
+    def __init__(self, block: Block, k: int, folds: int, fold: int, totals: tuple[float, float] | None, resume: bool = False):
         self.block, self.questions = block, []
         self.held = np.array([held_out(d, folds, fold) for d in block.ids], bool)
         train, n = np.repeat(~self.held, block.counts), len(block.words)
+        nothing = np.zeros(0, bool)
+        self.state = save(np.zeros(0, np.int64), nothing, nothing, np.zeros(0))
         order = np.argsort(block.keys)
         if k == 0:
             own = np.bincount(block.words[train], minlength=len(block.keys))
             self.questions.append((PAIR, 0, block.keys[order], own[order].astype(np.uint64)))
             return
-        of_key = np.zeros(len(block.keys), np.int64)
-        of_key[order] = block.answer(PAIR, 0, len(block.keys)) >> np.uint64(1)
-        tokens, self.n0 = block.keys[block.words], of_key[block.words]
-        self.base = np.log((self.n0 + 1) / (totals[0] + totals[1] + 1))
-        self.p = np.exp(self.base)
+        tokens = block.keys[block.words]
         depth = np.arange(n) - np.repeat(np.cumsum(block.counts) - block.counts, block.counts)
-        sym = mix(~tokens)
         # candidates of a level: positions, their context one level shorter, and the count of that with the token
-        at = np.flatnonzero(depth >= 1)
-        at = at[self.n0[at - 1] >= 2]
-        h, before, kept = np.zeros(len(at), np.uint64), self.n0[at], np.ones(n, bool)
-        for d in range(1, k + 1):
+        if resume:
+            start = k - 2
+            at, before, kept, self.p = load(block.known[STATE, k - 1][0], n)
+        else:
+            start = 1
+            of_key = np.zeros(len(block.keys), np.int64)
+            of_key[order] = block.answer(PAIR, 0, len(block.keys)) >> np.uint64(1)
+            self.n0 = of_key[block.words]
+            self.base = np.log((self.n0 + 1) / (totals[0] + totals[1] + 1))
+            self.p = np.exp(self.base)
+            at = np.flatnonzero(depth >= 1)
+            at = at[self.n0[at - 1] >= 2]
+            before, kept = self.n0[at], np.ones(n, bool)
+        h = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for d in range(1, start):
+                h = mix((h + np.uint64(1)) * GOLD + tokens[at - d])
+        for d in range(start, k + 1):
             if not len(at):
                 return
+            if d == k - 1:
+                self.state = save(at, before >= 2, kept[at], self.p)
             with np.errstate(over="ignore"):
                 h = mix((h + np.uint64(1)) * GOLD + tokens[at - d])
             here = train[at]
             known = before >= 2
             ask = np.flatnonzero(known)
-            pairs, first, inv = distinct(mix(h[ask] ^ sym[at[ask]]))
+            pairs, first, inv = distinct(mix(h[ask] ^ mix(~tokens[at[ask]])), places=d + 1 == k)
             if d == k:
                 self.questions.append((PAIR, d, pairs, np.bincount(inv[here[ask]], minlength=len(pairs)).astype(np.uint64)))
                 return
@@ -90,13 +137,17 @@ class Walk:
             count[ask] = (got >> np.uint64(1)).astype(np.int64)[inv]
             counted = np.full(n, 2, np.int64)
             counted[at] = count
-            # the pairs that this block adds up for all
-            mine = np.flatnonzero((got & np.uint64(1) == 1) & (got >= 4))
-            spots, times = at[ask[first[mine]]], (got[mine] >> np.uint64(1)).astype(np.float64)
+            if d + 1 == k:
+                # the pairs that this block adds up for all
+                mine = np.flatnonzero((got & np.uint64(1) == 1) & (got >= 4))
+                spots, times = at[ask[first[mine]]], (got[mine] >> np.uint64(1)).astype(np.float64)
             # only now is it known which contexts of the level before are retained
             stay = kept[at]
             at, h, count, here = at[stay], h[stay], count[stay], (here & known)[stay]
-            contexts, _, inv = distinct(h)
+            if d == 1:
+                contexts, inv = of_words(block.words[at - 1], block.keys)
+            else:
+                contexts, _, inv = distinct(h, places=False)
             if d + 1 == k:
                 index = np.full(n, -1, np.int64)
                 index[at] = inv
@@ -119,6 +170,8 @@ def answered(rows: pa.Table, bits: int, price: float) -> pa.Table:
     """A shard's answers: of pairs twice their count, plus 1 for the first block that has it in training; of contexts their
     count if they are retained, else 0."""
     kind = rows.column("kind")[0].as_py()
+    if kind == STATE:  # the next round's
+        return rows.select(["block", "kind", "level", "shard", "keys"]).rename_columns(["block", "kind", "level", "shard", "known"])
     if kind == PAIR:
         s = Shard(rows, bits, np.uint64)
         n = s.total(s.sent.astype(np.float64)).astype(np.uint64)
@@ -142,13 +195,17 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2, price: float = PRICE,
     blocks = blocks_of(docs, max_chars)
     bits, answers, totals, k = shard_bits(blocks), None, None, 0
     while True:
+        resume = k > SAVED
 
-        def ask(row: pa.Table, got: pa.Table | None, k=k, totals=totals) -> pa.Table:
-            w = Walk(Block(row, got, END), k, folds, fold, totals)
+        def ask(row: pa.Table, got: pa.Table | None, k=k, totals=totals, resume=resume) -> pa.Table:
+            w = Walk(Block(row, got, END), k, folds, fold, totals, resume)
             none = question(0, 0, 0, np.zeros(0, np.uint64), np.zeros(0), bits)
-            return pa.concat_tables([none, *(question(w.block.block, *q, bits) for q in w.questions)])
+            b = w.block.block
+            state = pa.table([[STATE], [k], [b], [b], [w.state], [b""]], schema=none.schema) if k >= SAVED else none
+            return pa.concat_tables([none, state, *(question(b, *q, bits) for q in w.questions)])
 
-        new = asked(blocks, answers, ask, lambda rows: answered(rows, bits, price))
+        used = answers.where(f"kind = {STATE} and level = {k - 1} or kind <> {STATE} and level >= {k - 2}") if resume else answers
+        new = asked(blocks, used, ask, lambda rows: answered(rows, bits, price))
         answers = new if answers is None else answers.union(new)
         if k == 0:
             totals = tuple(summary(new, PAIR, 0))
@@ -166,4 +223,4 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2, price: float = PRICE,
             "doc_id": pa.array(w.block.ids, pa.int64()), "held_out": w.held, "n_tokens": w.block.counts, "n_known": add(w.n0 > 0).astype(np.int64),
             "train_tokens": np.full(len(w.held), int(totals[0]), np.int64), "base_score": add(w.base) / ten, "score": add(np.log(w.p)) / ten})
 
-    return told(blocks, answers, score, OUT)
+    return told(blocks, answers.where(f"kind <> {STATE}"), score, OUT)
