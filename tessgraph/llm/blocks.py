@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +71,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def blocks_of(docs: DataFrame, max_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents (doc_id, text) as blocks, made once and dealt by block. docs must give the same rows in the same partitions if read again."""
+    """The documents (doc_id, text) as blocks, made once and dealt by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -96,14 +96,17 @@ def blocks_of(docs: DataFrame, max_chars: int = BLOCK_CHARS) -> DataFrame:
 
     conf = docs.sparkSession.conf
     dealt = docs.select("doc_id", "text").mapInArrow(run, BLOCK).repartition(int(conf.get("spark.sql.shuffle.partitions")), "block")
-    # kept on the executors' disks, dealt by block, so that no round moves it again; what is lost is made again from docs
+    # written once in the shared folder, dealt by block: no round moves it again, no lost executor takes it along
     name = "spark.sql.adaptive.enabled"
     before = conf.get(name)
     conf.set(name, "false")
     try:
-        return dealt.persist(StorageLevel.DISK_ONLY)
+        out = checkpoint(dealt)
     finally:
         conf.set(name, before)
+    del dealt
+    tidy(docs.sparkSession)
+    return out
 
 
 def shard_bits(blocks: DataFrame) -> int:

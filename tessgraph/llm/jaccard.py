@@ -121,7 +121,7 @@ def prepared(docs: DataFrame, width: int, percent: int, max_chars: int) -> tuple
 
     often = asked(blocks, reps, ask, answer)
     live = checkpoint(told(blocks, reps.union(often), lambda b, a: live_sets(b, a, width, percent), "cid binary, n long, keys array<long>, top array<int>"))
-    blocks.unpersist()
+    del blocks
     tidy(docs.sparkSession)
     posted = live.select("cid", "n", "keys", F.explode("top").alias("pos")).select(F.expr("keys[pos]").alias("key"), "cid", "n", "pos")
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
