@@ -164,7 +164,7 @@ def distinct(keys: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndar
 
 
 def question(block: int, kind: int, level: int, keys: np.ndarray, sent: np.ndarray, bits: int) -> pa.Table:
-    """Rows of ASKED, one a shard: sorted keys, and a column of numbers (or a row of them) for each."""
+    """Rows of ASKED, one a shard: sorted keys, and a number (or several, sent column by column) for each."""
     shard = keys >> np.uint64(64 - bits)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
     cuts = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
@@ -172,7 +172,7 @@ def question(block: int, kind: int, level: int, keys: np.ndarray, sent: np.ndarr
     n = len(cuts)
     return pa.table({
         "kind": pa.array([kind] * n, pa.int32()), "level": pa.array([level] * n, pa.int32()), "shard": pa.array(shards, pa.int64()), "block": pa.array([block] * n, pa.int64()),
-        "keys": pa.array([pack_keys(keys[a:b], s << (64 - bits)) for (a, b), s in zip(cuts, shards, strict=True)], pa.binary()), "sent": pa.array([squeeze(sent[a:b]) for a, b in cuts], pa.binary())})
+        "keys": pa.array([pack_keys(keys[a:b], s << (64 - bits)) for (a, b), s in zip(cuts, shards, strict=True)], pa.binary()), "sent": pa.array([squeeze(sent[a:b].T) for a, b in cuts], pa.binary())})
 
 
 class Shard:
@@ -184,7 +184,8 @@ class Shard:
         self.blocks = rows.column("block").to_pylist()
         asked = [unpack_keys(b, self.shard << (64 - bits)) for b in rows.column("keys").to_pylist()]
         self.sizes = [len(a) for a in asked]
-        self.sent = np.concatenate([spread(b, dtype) for b in rows.column("sent").to_pylist()])
+        # one row a key, of as many numbers as were sent
+        self.sent = np.concatenate([spread(b, dtype).reshape(-1, n).T for b, n in zip(rows.column("sent").to_pylist(), self.sizes, strict=True)])
         self.keys, _, self.at = distinct(np.concatenate(asked))
 
     def total(self, column: np.ndarray) -> np.ndarray:

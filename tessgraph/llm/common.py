@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,8 +112,18 @@ def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the files of shuffles and checkpoints that nothing refers to any more, now that both collectors see it."""
+    """Lets Spark's cleaner remove the files of shuffles and checkpoints that nothing refers to any more, now that both collectors see it.
+
+    Two things keep the last query's files longer: handles that Python gives up are passed to the JVM by a thread that sleeps
+    up to a second, and Spark's listeners hold the event of the last query, and so its plan, until another one ends."""
     gc.collect()
+    spark.range(1).collect()
+    given_up = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
+    for _ in range(60):
+        if not given_up:
+            break
+        time.sleep(0.05)
+    time.sleep(0.1)  # the last one is on its way
     spark._jvm.System.gc()
 
 

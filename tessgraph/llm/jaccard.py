@@ -117,7 +117,7 @@ def prepared(docs: DataFrame, width: int, percent: int, max_chars: int) -> tuple
 
     def answer(rows: pa.Table) -> pa.Table:
         s = Shard(rows, bits, np.uint64)
-        return s.answers(s.total(s.sent.astype(np.float64))[s.at])
+        return s.answers(s.total(s.sent[:, 0].astype(np.float64))[s.at])
 
     often = asked(blocks, reps, ask, answer)
     live = checkpoint(told(blocks, reps.union(often), lambda b, a: live_sets(b, a, width, percent), "cid binary, n long, keys array<long>, top array<int>"))

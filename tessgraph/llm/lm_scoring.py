@@ -174,15 +174,14 @@ def answered(rows: pa.Table, bits: int, price: float) -> pa.Table:
         return rows.select(["block", "kind", "level", "shard", "keys"]).rename_columns(["block", "kind", "level", "shard", "known"])
     if kind == PAIR:
         s = Shard(rows, bits, np.uint64)
-        n = s.total(s.sent.astype(np.float64)).astype(np.uint64)
+        n = s.total(s.sent[:, 0].astype(np.float64)).astype(np.uint64)
         known = n[s.at] * np.uint64(2)
-        has = np.flatnonzero(s.sent > 0)
+        has = np.flatnonzero(s.sent[:, 0])
         _, first = np.unique(s.at[has], return_index=True)
         known[has[first]] += np.uint64(1)
         return s.answers(known, np.array([int(n.sum()), int((n > 0).sum())]))
     s = Shard(rows, bits, np.float64)
-    sent = s.sent.reshape(-1, 3)
-    c, repeated, terms = (s.total(sent[:, k]) for k in range(3))
+    c, repeated, terms = (s.total(s.sent[:, k]) for k in range(3))
     kept = (c > 1) & (gain(c, repeated, terms) > price)
     return s.answers(np.where(kept, c, 0)[s.at], np.array([int(kept.sum()), len(c)]))
 
