@@ -114,29 +114,32 @@ class Walk:
             at = np.flatnonzero(depth >= 1)
             at = at[self.n0[at - 1] >= 2]
             before, kept = self.n0[at], np.ones(n, bool)
-        h = np.zeros(len(at), np.uint64)
+        # by distinct word, as far as one word alone decides
         with np.errstate(over="ignore"):
-            for d in range(1, start):
+            last, sym = mix(GOLD + block.keys), mix(~block.keys)
+            h = last[block.words[at - 1]]
+            for d in range(2, start):
                 h = mix((h + np.uint64(1)) * GOLD + tokens[at - d])
         for d in range(start, k + 1):
             if not len(at):
                 return
             if d == k - 1:
                 self.state = save(at, before >= 2, kept[at], self.p)
-            with np.errstate(over="ignore"):
-                h = mix((h + np.uint64(1)) * GOLD + tokens[at - d])
+            if d > 1:
+                with np.errstate(over="ignore"):
+                    h = mix((h + np.uint64(1)) * GOLD + tokens[at - d])
             here = train[at]
             known = before >= 2
             ask = np.flatnonzero(known)
-            pairs, first, inv = distinct(mix(h[ask] ^ mix(~tokens[at[ask]])), places=d + 1 == k)
+            pairs, first, inv = distinct(mix(h[ask] ^ sym[block.words[at[ask]]]), places=d + 1 == k)
             if d == k:
                 self.questions.append((PAIR, d, pairs, np.bincount(inv[here[ask]], minlength=len(pairs)).astype(np.uint64)))
                 return
             got = block.answer(PAIR, d, len(pairs))
             count = np.zeros(len(at), np.int64)
             count[ask] = (got >> np.uint64(1)).astype(np.int64)[inv]
-            counted = np.full(n, 2, np.int64)
-            counted[at] = count
+            again = np.ones(n, bool)
+            again[at] = count >= 2
             if d + 1 == k:
                 # the pairs that this block adds up for all
                 mine = np.flatnonzero((got & np.uint64(1) == 1) & (got >= 4))
@@ -162,7 +165,7 @@ class Walk:
                 kept = np.zeros(n, bool)
                 kept[at[keep]] = True
             # a longer context must occur twice; where it was counted, as a pair that ends one token earlier, that is known
-            more = (depth[at] > d) & (counted[at - 1] >= 2)
+            more = (depth[at] > d) & again[at - 1]
             at, h, before = at[more], h[more], count[more]
 
 
