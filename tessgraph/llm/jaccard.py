@@ -30,7 +30,7 @@ from .blocks import ANSWER, BLOCK_CHARS, Block, Shard, asked, blocks_of, distinc
 from .common import checkpoint, components, mix, tidy
 
 FIRST, FREQUENCY = 0, 1
-#: Pivots of a list and round. The same hash picks them in all lists, so that lists share them.
+#: Pivots of a list and round. The same order picks them in all lists, so that lists share them.
 PIVOTS = 8
 #: Comparisons with one pivot that one task takes.
 FANOUT = 2048
@@ -123,7 +123,7 @@ def prepared(docs: DataFrame, width: int, percent: int, max_chars: int) -> tuple
     live = checkpoint(told(blocks, reps.union(often), lambda b, a: live_sets(b, a, width, percent), "cid binary, n long, keys array<long>, top array<int>"))
     del blocks
     tidy(docs.sparkSession)
-    posted = live.select("cid", "n", "keys", F.explode("top").alias("pos")).select(F.expr("keys[pos]").alias("key"), "cid", "n", "pos")
+    posted = live.select("cid", "n", "keys", F.expr("top[0]").alias("lone"), F.explode("top").alias("pos")).select(F.expr("keys[pos]").alias("key"), "cid", "n", "pos", "lone")
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     return members, live.select("cid", "n", "keys"), checkpoint(posted.join(shared, "key", "left_semi"))
 
@@ -148,8 +148,10 @@ def connected(docs: DataFrame, width: int = 4, percent: int = 85, max_chars: int
     with_pivot, turn = None, 0
     while True:
         labelled = lists.join(label, "cid")
-        by_hash = [F.min_by(F.struct("cid", "n", "pos", "c"), F.struct(F.xxhash64("cid", F.lit(PIVOTS * turn + k)), "cid")) for k in range(PIVOTS)]
-        pivot = labelled.groupBy("key").agg(F.array_distinct(F.array(*by_hash)).alias("ps"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("hi > lo").select("key", F.explode("ps").alias("p"))
+        # every other pivot is one of the sets with the smallest share of keys of their own: it lies in the middle of its near copies
+        share = lambda k: F.col("lone") / F.col("n") if k % 2 else F.lit(0.0)
+        picked = [F.min_by(F.struct("cid", "n", "pos", "c"), F.struct(share(k), F.xxhash64("cid", F.lit(PIVOTS * turn + k)), "cid")) for k in range(PIVOTS)]
+        pivot = labelled.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("ps"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("hi > lo").select("key", F.explode("ps").alias("p"))
         near = labelled.join(pivot, "key").where("c <> p.c").where(F.expr(may_link("n", "pos", "p.n", "p.pos", percent)))
         pairs = checkpoint(near.select(F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("p.cid").alias("b"), F.col("p.c").alias("cb")).distinct())
         tried = pairs.count()

@@ -298,6 +298,22 @@ def test_jaccard(spark, docs, none):
     assert jaccard.groups(none).count() == 0
 
 
+def test_jaccard_compares_near_copies_with_those_in_the_middle(spark, monkeypatch):
+    """Copies with two changed words each link with the text and the few copies of one change, hardly with each other: comparisons must not grow with the square of the group."""
+    rng, w = np.random.default_rng(5), [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(w))]
+    for i in range(1, 300):
+        t = list(w)
+        for j in rng.choice(150, 2, replace=False):
+            t[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(t)))
+    compared, plain = [], jaccard.overlaps
+    monkeypatch.setattr(jaccard, "overlaps", lambda pairs, whole: (compared.append(pairs.count()), plain(pairs, whole))[1])
+    found = {r.doc_id: r.component_id for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict.fromkeys(range(300), 0)
+    assert sum(compared) <= 20 * len(rows)
+
+
 def test_jaccard_answers_hold_every_link(spark):
     rng = np.random.default_rng(5)
     base = [f"w{j}" for j in range(90)]
