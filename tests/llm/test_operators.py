@@ -142,6 +142,16 @@ def test_classifier_limits_are_each_languages_own(spark, bound, many):
     assert set(model[1]) == {"en", "fr"} and model[1]["fr"] < model[1]["en"] - 0.1
 
 
+def test_classifier_learns_from_every_trusted_row(spark):
+    texts = spoken(4400, [f"wo{i}rd{i * i}" for i in range(300)], 3)
+    docs = spark.createDataFrame([(i, t[:60], "en") for i, t in enumerate(texts)] + [(None, "null id", "en"), (9000, "not trusted", "en")], "doc_id long, text string, lang string")
+    model = quality_classifier.learn(docs, spark.createDataFrame([(i, 1) for i in range(4400)] + [(9000, 0), (None, 1)], "doc_id long, quality int"))
+    key, n = np.unique(np.concatenate([quality_classifier.grams(t[:60]) for t in texts]), return_counts=True)
+    want = quality_classifier.KneserNey(key, n)
+    assert all(np.array_equal(a, b) for a, b in zip([*model[0].keys, *model[0].contexts], [*want.keys, *want.contexts], strict=True))
+    assert all(np.allclose(a, b) for a, b in zip([*model[0].mass, *model[0].backoff], [*want.mass, *want.backoff], strict=True))
+
+
 def test_scores_never_rise_against_their_constraint():
     rng = np.random.default_rng(1)
     x = rng.random((400, len(quality_rules.FEATURES)))
