@@ -37,26 +37,56 @@ def spread(b: bytes, dtype) -> np.ndarray:
 
 
 def squeeze_words(x: np.ndarray) -> bytes:
-    """Indices below 2^32, each of their bytes as a plane of its own."""
-    return squeeze(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    """Whole numbers of 64 bits, none negative: each byte of theirs is a plane of its own, as far as the largest has any."""
+    n = max((int(x.max(initial=0)).bit_length() + 7) // 8, 1)
+    return bytes([n]) + squeeze(np.concatenate([(x >> 8 * k).astype(np.uint8) for k in range(n)]))
 
 
 def spread_words(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(spread(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    planes = spread(memoryview(b)[1:], np.uint8).reshape(b[0], -1)
+    out = planes[0].astype(np.int64)
+    for k in range(1, b[0]):
+        out |= planes[k].astype(np.int64) << 8 * k
+    return out
+
+
+def join_parts(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def split_parts(b: bytes) -> list[bytes]:
+    parts, at = [], 0
+    while at < len(b):
+        size = int.from_bytes(b[at : at + 8], "little")
+        parts.append(b[at + 8 : at + 8 + size])
+        at += 8 + size
+    return parts
+
+
+def pieces(width: int) -> list[tuple[int, int]]:
+    """(bytes, their first bit) of the standard integers that make up a number of so many bytes."""
+    out, at = [], 0
+    for size in (8, 4, 2, 1):
+        if width & size:
+            out.append((size, at))
+            at += 8 * size
+    return out
 
 
 def pack_keys(keys: np.ndarray, base: int) -> bytes:
-    """Sorted keys from base on as differences of equal width."""
+    """Sorted keys from base on as differences of equal width, piece by piece."""
     step = np.diff(keys, prepend=np.uint64(base))
     width = max((int(step.max()).bit_length() + 7) // 8, 1)
-    return bytes([width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + b"".join((step >> np.uint64(at)).astype(f"<u{size}").tobytes() for size, at in pieces(width))
 
 
 def unpack_keys(b: bytes, base: int) -> np.ndarray:
-    width = b[0]
-    out = np.zeros(((len(b) - 1) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(base)
+    n, start = (len(b) - 1) // b[0], 1
+    out = np.zeros(n, np.uint64)
+    for size, at in pieces(b[0]):
+        out |= np.frombuffer(b, f"<u{size}", n, start).astype(np.uint64) << np.uint64(at)
+        start += n * size
+    return np.cumsum(out, dtype=np.uint64) + np.uint64(base)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +168,7 @@ class Block:
 
     def given(self, kind: int, level: int) -> np.ndarray:
         """The numbers of that kind and level in order of the shards, none if there are none."""
-        return np.concatenate([np.zeros(0, np.uint64), *(spread(b, np.uint64) for b in self.known.get((kind, level), []))])
+        return np.concatenate([np.zeros(0, np.uint64), *(spread_words(b).view(np.uint64) for b in self.known.get((kind, level), []))])
 
     def answer(self, kind: int, level: int, n: int) -> np.ndarray:
         """The answers to the n keys of that question."""
@@ -148,23 +178,39 @@ class Block:
         return got
 
 
-def distinct(keys: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """np.unique with first index (if places) and inverse, by hashing: only the distinct keys are sorted."""
-    import pandas as pd
-
-    codes, found = pd.factorize(keys)
-    order = np.argsort(found)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    if not places:
-        return found[order], None, rank[codes]
-    first = np.empty(len(order), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    return found[order], first[order], rank[codes]
+def grouped(keys: np.ndarray, same: int = 0) -> np.ndarray:
+    """np.argsort(keys, stable) for hashes whose first same bits agree, in one sort of numbers.
+
+    A number is the key's leading bits with its index below them. The few keys that agree in these bits alone are put right after."""
+    low = np.uint64((1 << max(len(keys) - 1, 1).bit_length()) - 1)
+    packed = ((keys << np.uint64(same)) & ~low) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    found = keys[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong) > 1000:  # no hashes
+        return np.argsort(keys, kind="stable")
+    for i in wrong:
+        lead = packed[i] & ~low
+        a, z = np.searchsorted(packed, lead), np.searchsorted(packed, lead | low, side="right")
+        part = np.sort(order[a:z])
+        order[a:z] = part[np.argsort(keys[part], kind="stable")]
+    return order
+
+
+def distinct(keys: np.ndarray, places: bool = True, same: int = 0) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """np.unique with first index (if places) and inverse, of hashes whose first same bits agree."""
+    order = grouped(keys, same)
+    found = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    inv = np.empty(len(keys), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    return found[new], order[new] if places else None, inv
 
 
 def question(block: int, kind: int, level: int, keys: np.ndarray, sent: np.ndarray, bits: int) -> pa.Table:
-    """Rows of ASKED, one a shard: sorted keys, and a number (or several, sent column by column) for each."""
+    """Rows of ASKED, one a shard: sorted keys, and a whole number (or several, sent column by column) for each."""
     shard = keys >> np.uint64(64 - bits)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
     cuts = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
@@ -172,21 +218,21 @@ def question(block: int, kind: int, level: int, keys: np.ndarray, sent: np.ndarr
     n = len(cuts)
     return pa.table({
         "kind": pa.array([kind] * n, pa.int32()), "level": pa.array([level] * n, pa.int32()), "shard": pa.array(shards, pa.int64()), "block": pa.array([block] * n, pa.int64()),
-        "keys": pa.array([pack_keys(keys[a:b], s << (64 - bits)) for (a, b), s in zip(cuts, shards, strict=True)], pa.binary()), "sent": pa.array([squeeze(sent[a:b].T) for a, b in cuts], pa.binary())})
+        "keys": pa.array([pack_keys(keys[a:b], s << (64 - bits)) for (a, b), s in zip(cuts, shards, strict=True)], pa.binary()), "sent": pa.array([join_parts([squeeze_words(x) for x in np.atleast_2d(sent[a:b].T)]) for a, b in cuts], pa.binary())})
 
 
 class Shard:
     """What blocks asked one shard: distinct keys; at: the key of every question, in order of the blocks."""
 
-    def __init__(self, rows: pa.Table, bits: int, dtype):
-        rows = rows.sort_by("block")
+    def __init__(self, rows: pa.Table, bits: int):
         self.kind, self.level, self.shard = (rows.column(c)[0].as_py() for c in ("kind", "level", "shard"))
-        self.blocks = rows.column("block").to_pylist()
-        asked = [unpack_keys(b, self.shard << (64 - bits)) for b in rows.column("keys").to_pylist()]
+        parts = sorted(zip(*(rows.column(c).to_pylist() for c in ("block", "keys", "sent")), strict=True), key=lambda r: r[0])
+        self.blocks = [b for b, _, _ in parts]
+        asked = [unpack_keys(keys, self.shard << (64 - bits)) for _, keys, _ in parts]
         self.sizes = [len(a) for a in asked]
-        # one row a key, of as many numbers as were sent
-        self.sent = np.concatenate([spread(b, dtype).reshape(-1, n).T for b, n in zip(rows.column("sent").to_pylist(), self.sizes, strict=True)])
-        self.keys, _, self.at = distinct(np.concatenate(asked))
+        # columns of numbers, one for each key asked
+        self.sent = [np.concatenate(c) for c in zip(*([spread_words(x) for x in split_parts(sent)] for _, _, sent in parts), strict=True)]
+        self.keys, _, self.at = distinct(np.concatenate(asked), places=False, same=bits)
 
     def total(self, column: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, column, len(self.keys))
@@ -194,8 +240,8 @@ class Shard:
     def answers(self, known: np.ndarray, summary: np.ndarray | None = None) -> pa.Table:
         """Rows of ANSWER from an array over all questions; summary goes to block -1."""
         cuts = np.cumsum([0, *self.sizes])
-        rows = [(b, squeeze(known[a:z].astype(np.uint64))) for b, a, z in zip(self.blocks, cuts[:-1], cuts[1:], strict=True)]
-        rows += [] if summary is None else [(-1, squeeze(summary.astype(np.uint64)))]
+        rows = [(b, squeeze_words(known[a:z].astype(np.uint64))) for b, a, z in zip(self.blocks, cuts[:-1], cuts[1:], strict=True)]
+        rows += [] if summary is None else [(-1, squeeze_words(summary.astype(np.uint64)))]
         n = len(rows)
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([self.kind] * n, pa.int32()), "level": pa.array([self.level] * n, pa.int32()), "shard": pa.array([self.shard] * n, pa.int64()), "known": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -219,4 +265,4 @@ def asked(blocks: DataFrame, answers: DataFrame | None, ask, answer) -> DataFram
 def summary(answers: DataFrame, kind: int, level: int) -> np.ndarray:
     """Sum of the shards' summaries: one small row a shard."""
     rows = answers.where(f"block = -1 and kind = {kind} and level = {level}").select("known").toArrow().column("known").to_pylist()
-    return np.sum([spread(b, np.uint64).astype(np.float64) for b in rows], 0) if rows else np.zeros(2)
+    return np.sum([spread_words(b).astype(np.float64) for b in rows], 0) if rows else np.zeros(2)

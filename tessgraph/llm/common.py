@@ -86,7 +86,7 @@ def hash_words(words: pa.Array) -> np.ndarray:
     """64-bit keys of distinct words (SipHash with a fixed key: the same on every executor)."""
     import pandas as pd
 
-    return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False).astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False).astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ANSWER, BLOCK_CHARS, Block, Shard, asked, blocks_of, distinct, question, shard_bits, squeeze, told
+from .blocks import ANSWER, BLOCK_CHARS, Block, Shard, asked, blocks_of, distinct, question, shard_bits, squeeze_words, told
 from .common import checkpoint, components, mix, tidy
 
 FIRST, FREQUENCY = 0, 1
@@ -76,7 +76,7 @@ def members_of(row: pa.Table, width: int) -> pa.Table:
 def chosen(rows: pa.Table) -> pa.Table:
     """The rows of a block that stand for their classes, as an answer to it."""
     at = np.sort(rows.column("at").to_numpy())
-    return pa.table({"block": rows.column("block")[:1], "kind": pa.array([FIRST], pa.int32()), "level": pa.array([0], pa.int32()), "shard": pa.array([0], pa.int64()), "known": pa.array([squeeze(at.astype(np.uint64))], pa.binary())})
+    return pa.table({"block": rows.column("block")[:1], "kind": pa.array([FIRST], pa.int32()), "level": pa.array([0], pa.int32()), "shard": pa.array([0], pa.int64()), "known": pa.array([squeeze_words(at)], pa.binary())})
 
 
 def own_sets(row: pa.Table, got: pa.Table | None, width: int) -> tuple[Block, list[np.ndarray], np.ndarray, np.ndarray]:
@@ -116,8 +116,8 @@ def prepared(docs: DataFrame, width: int, percent: int, max_chars: int) -> tuple
         return question(b.block, FREQUENCY, 0, keys, counts, bits)
 
     def answer(rows: pa.Table) -> pa.Table:
-        s = Shard(rows, bits, np.uint64)
-        return s.answers(s.total(s.sent[:, 0].astype(np.float64))[s.at])
+        s = Shard(rows, bits)
+        return s.answers(s.total(s.sent[0])[s.at])
 
     often = asked(blocks, reps, ask, answer)
     live = checkpoint(told(blocks, reps.union(often), lambda b, a: live_sets(b, a, width, percent), "cid binary, n long, keys array<long>, top array<int>"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessgraph.llm import bpe, embeddings, html_text, jaccard, lm_scoring, packing, quality_classifier, quality_rules, secrets, token_counts
+from tessgraph.llm import blocks, bpe, embeddings, html_text, jaccard, lm_scoring, packing, quality_classifier, quality_rules, secrets, token_counts
 from tessgraph.llm.common import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string"
@@ -240,6 +240,47 @@ def test_lm_contexts_grow_until_none_is_retained(spark, max_chars):
         assert r.score == pytest.approx(score(toks[r.doc_id]), abs=1e-6)
 
 
+def test_lm_rounds_go_on_from_the_last_round_alone(spark, monkeypatch):
+    lists, tell = [], lm_scoring.told
+    kinds = lambda a: {tuple(r) for r in a.where("block >= 0").select("kind", "level").distinct().collect()}
+
+    def ask(blocks, answers, *rest, f=lm_scoring.asked):
+        lists.append(answers and kinds(answers))
+        return f(blocks, answers, *rest)
+
+    def say(blocks, answers, *rest):
+        lists.append(kinds(answers))
+        return tell(blocks, answers, *rest)
+
+    monkeypatch.setattr(lm_scoring, "asked", ask)
+    monkeypatch.setattr(lm_scoring, "told", say)
+    texts = [f"a{i % 3} b{i % 5} c d e f g{i % 7}" for i in range(300)]
+    out = lm_scoring.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), price=0.5, max_chars=900).collect()
+    by_text = {}
+    for r in out:
+        by_text.setdefault(texts[r.doc_id], set()).add(r.score)
+    assert len(out) == 300 and all(len(x) == 1 for x in by_text.values())
+    assert len(lists) > 5
+    for k, got in enumerate(lists[4:-1], 4):
+        assert got <= {(lm_scoring.PAIR, k - 1), (lm_scoring.CONTEXT, k - 2), (lm_scoring.STATE, k - 1)}
+    assert lists[-1] == {(lm_scoring.STATE, len(lists) - 2)}
+
+
+def test_lm_numbers_and_keys_come_back():
+    rng = np.random.default_rng(1)
+    for x in (np.zeros(0, np.int64), np.array([0, 255, 256, (1 << 32) + 7, (1 << 63) - 1]), np.arange(70000), np.array([-1.5, 0.0, 1e300]).view(np.uint64)):
+        assert (blocks.spread_words(blocks.squeeze_words(x)).view(x.dtype) == x).all()
+    for top in range(1, 65):
+        keys = np.unique(rng.integers(0, (1 << top) - 1, 50, dtype=np.uint64, endpoint=True))
+        assert (blocks.unpack_keys(blocks.pack_keys(keys, 0), 0) == keys).all()
+    near = np.uint64(1 << 60) + rng.integers(0, 40, 3000, dtype=np.uint64)  # agree in their leading bits
+    few = np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.array([9, 8, 9, 7, 8] * 3, np.uint64)])
+    for keys in (near, few, near[:0], near[:1], few | np.uint64(1 << 63)):
+        for same in (0, 1) if (keys >> np.uint64(63)).all() else (0,):
+            want, got = np.unique(keys, return_index=True, return_inverse=True), blocks.distinct(keys, same=same)
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(want, got, strict=True))
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class='ad'>Buy this.</div><article><h1>Head &amp; line</h1><p>One  two\n<b>three</b>.<br><p>Four.</article><div class=comments><p>Nice</div><footer>&copy; me</footer></body>"
     df = spark.createDataFrame([(1, "u", page), (2, "v", None), (2, "v", "")], "page_id long, url string, html string")
