@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -32,6 +33,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def checkpoint_few(df: DataFrame) -> DataFrame:
+    """checkpoint() in few files, for rows of ids and numbers: up to four for each core, or an eighth of the shuffle partitions if that is more.
+
+    For each file and its checksum an executor's JVM starts a chmod (Hadoop's local file system without its native library),
+    and until that has begun, the child has the JVM's whole memory as its own."""
+    spark = df.sparkSession
+    return checkpoint(df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def released(x=None):
+    """x, after the memory that this Python worker has freed went back to the machine: the worker waits for its next task without it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    return x
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir. Where none is set, a local master (tests) gets a temporary one; a cluster is an error."""
     sc = spark.sparkContext
@@ -153,7 +177,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     large-star and small-star rounds until nothing changes.
 
     The rounds are joins and aggregates on node ids with a checkpoint each; only a count of changed rows reaches the driver."""
-    e = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    e = checkpoint_few(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     n = e.count()
     if n <= ONE_TASK_EDGES:
         kind = e.schema["u"].dataType.simpleString()
@@ -164,7 +188,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        nxt = checkpoint(small)
+        nxt = checkpoint_few(small)
         if nxt.exceptAll(e).isEmpty() and nxt.count() == e.count():
             break
         e = nxt

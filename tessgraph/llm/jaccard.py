@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ANSWER, BLOCK_CHARS, Block, Shard, asked, blocks_of, distinct, question, shard_bits, squeeze_words, told
-from .common import checkpoint, components, mix, tidy
+from .common import checkpoint_few, components, mix, released, tidy
 
 FIRST, FREQUENCY = 0, 1
 #: Pivots of a list and round. The same order picks them in all lists, so that lists share them.
@@ -107,25 +107,25 @@ def prepared(docs: DataFrame, width: int, percent: int, max_chars: int) -> tuple
     """(members, sets that may link: cid, n, keys; index lists of two or more classes: key, cid, n, pos)."""
     blocks = blocks_of(docs, max_chars)
     bits = shard_bits(blocks)
-    members = checkpoint(told(blocks, None, lambda b, _: members_of(b, width), MEMBER))
+    members = checkpoint_few(told(blocks, None, lambda b, _: released(members_of(b, width)), MEMBER))
     first = members.where("cid is not null").groupBy("cid").agg(F.min(F.struct("block", "at")).alias("r")).select("r.*")
-    reps = checkpoint(first.groupBy("block").applyInArrow(lambda rows: chosen(rows), ANSWER))
+    reps = checkpoint_few(first.groupBy("block").applyInArrow(lambda rows: chosen(rows), ANSWER))
 
     def ask(row: pa.Table, got: pa.Table | None) -> pa.Table:
         b, _, keys, counts = own_sets(row, got, width)
-        return question(b.block, FREQUENCY, 0, keys, counts, bits)
+        return released(question(b.block, FREQUENCY, 0, keys, counts, bits))
 
     def answer(rows: pa.Table) -> pa.Table:
         s = Shard(rows, bits)
         return s.answers(s.total(s.sent[0])[s.at])
 
     often = asked(blocks, reps, ask, answer)
-    live = checkpoint(told(blocks, reps.union(often), lambda b, a: live_sets(b, a, width, percent), "cid binary, n long, keys array<long>, top array<int>"))
+    live = checkpoint_few(told(blocks, reps.union(often), lambda b, a: released(live_sets(b, a, width, percent)), "cid binary, n long, keys array<long>, top array<int>"))
     del blocks
     tidy(docs.sparkSession)
     posted = live.select("cid", "n", "keys", F.expr("top[0]").alias("lone"), F.explode("top").alias("pos")).select(F.expr("keys[pos]").alias("key"), "cid", "n", "pos", "lone")
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    return members, live.select("cid", "n", "keys"), checkpoint(posted.join(shared, "key", "left_semi"))
+    return members, live.select("cid", "n", "keys"), checkpoint_few(posted.join(shared, "key", "left_semi"))
 
 
 def overlaps(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def links_if(o: str, percent: int) -> str:
 def connected(docs: DataFrame, width: int = 4, percent: int = 85, max_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(members; components: node, root; index lists: key, cid, n, pos; sets: cid, n, keys) over classes of equal sets."""
     members, whole, lists = prepared(docs, width, percent, max_chars)
-    label = checkpoint(lists.select("cid", F.col("cid").alias("c")).distinct())
+    label = checkpoint_few(lists.select("cid", F.col("cid").alias("c")).distinct())
     with_pivot, turn = None, 0
     while True:
         labelled = lists.join(label, "cid")
@@ -153,14 +153,14 @@ def connected(docs: DataFrame, width: int = 4, percent: int = 85, max_chars: int
         picked = [F.min_by(F.struct("cid", "n", "pos", "c"), F.struct(share(k), F.xxhash64("cid", F.lit(PIVOTS * turn + k)), "cid")) for k in range(PIVOTS)]
         pivot = labelled.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("ps"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("hi > lo").select("key", F.explode("ps").alias("p"))
         near = labelled.join(pivot, "key").where("c <> p.c").where(F.expr(may_link("n", "pos", "p.n", "p.pos", percent)))
-        pairs = checkpoint(near.select(F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("p.cid").alias("b"), F.col("p.c").alias("cb")).distinct())
+        pairs = checkpoint_few(near.select(F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("p.cid").alias("b"), F.col("p.c").alias("cb")).distinct())
         tried = pairs.count()
         if not tried:
             break
-        o = checkpoint(overlaps(pairs.select("a", "b"), whole))
+        o = checkpoint_few(overlaps(pairs.select("a", "b"), whole))
         with_pivot = o if with_pivot is None else with_pivot.union(o)
         linked = o.where(links_if("o", percent)).select("a", "b")
-        new = checkpoint(pairs.join(linked, ["a", "b"], "left_semi").select("ca", "cb").distinct())
+        new = checkpoint_few(pairs.join(linked, ["a", "b"], "left_semi").select("ca", "cb").distinct())
         label = relabelled(label, new)
         turn += 1
         tidy(docs.sparkSession)
@@ -171,7 +171,7 @@ def connected(docs: DataFrame, width: int = 4, percent: int = 85, max_chars: int
         rest = opened(lists.join(label, "cid"), percent, "c <> c2", ["key"]).select("a", "b").distinct()
         links = derived(rest, with_pivot, whole, percent)
         of = lambda end: label.select(F.col("cid").alias(end), F.col("c").alias("c" + end))
-        label = relabelled(label, checkpoint(links.join(of("a"), "a").join(of("b"), "b").select("ca", "cb").distinct()))
+        label = relabelled(label, checkpoint_few(links.join(of("a"), "a").join(of("b"), "b").select("ca", "cb").distinct()))
     return members, label.select(F.col("cid").alias("node"), F.col("c").alias("root")), lists, whole
 
 
@@ -180,7 +180,7 @@ def relabelled(label: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges, "ca", "cb")
     # a component of very many classes is one hot key: small tables of changes are broadcast, others left to skew joins
     roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
-    return checkpoint(label.join(roots, F.col("c") == F.col("node"), "left").select("cid", F.coalesce("root", "c").alias("c")))
+    return checkpoint_few(label.join(roots, F.col("c") == F.col("node"), "left").select("cid", F.coalesce("root", "c").alias("c")))
 
 
 def may_link(n: str, pos: str, m: str, pos_m: str, percent: int) -> str:
@@ -195,7 +195,7 @@ def derived(pairs: DataFrame, with_pivot: DataFrame, whole: DataFrame, percent:
     both = pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"na": F.col("ra.n"), "nb": F.col("rb.n")})
     same = "coalesce(ra.p = rb.p, false)"
     high, low = links_if("least(ra.o, rb.o) + least(na - ra.o, nb - rb.o)", percent), links_if("ra.o + rb.o - ra.m", percent)
-    known = checkpoint(both.where(f"not {same} or {high}").select("a", "b", F.expr(f"{same} and {low}").alias("sure")))
+    known = checkpoint_few(both.where(f"not {same} or {high}").select("a", "b", F.expr(f"{same} and {low}").alias("sure")))
     return known.where("sure").select("a", "b").union(overlaps(known.where("not sure").select("a", "b"), whole).where(links_if("o", percent)).select("a", "b"))
 
 
@@ -220,7 +220,7 @@ def answers(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFra
     roots = own.where("node = root").select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("n").alias("o"))
     lists = live.join(comp, live.cid == comp.node).select(*live.columns, F.col("root").alias("c"))
     pairs = opened(lists, percent, "true", ["c", "key"]).select("a", "b").distinct()
-    return members, derived(pairs, checkpoint(near.union(roots)), whole, percent)
+    return members, derived(pairs, checkpoint_few(near.union(roots)), whole, percent)
 
 
 def link_counts(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

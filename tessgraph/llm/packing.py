@@ -122,7 +122,9 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path: str | Non
     first = by_part.withColumn("first", F.sum("m").over(Window.partitionBy("length").orderBy("part")) - F.col("m")).select("length", "part", "first")
     counts = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("m")).collect()}
     rows = plan(counts, capacity)
-    planned = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)], "length long, lo long, numbers long, each long, window long, base long")
+    # an Arrow table, as rows would start Python workers of another kind, which stay beside those of the other steps
+    names = ["length", "lo", "numbers", "each", "window", "base"]
+    planned = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows or [(0, 0, 0, 1, 0, 0)], strict=True)], names=names))
     numbered = cut.join(first, ["length", "part"]).withColumn("number", F.col("first") + F.col("nth"))
     # each window kind uses up a length, so the plan is bounded by the capacity; broadcast only if it is small indeed
     small = F.broadcast(planned) if len(rows) <= PLAN_ROWS else planned

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bitmap_of, checkpoint, inside, text_slices
+from .common import batch_of, bitmap_of, checkpoint, inside, released, text_slices
 
 ORDER = 4
 #: n-grams that a task holds before it adds them up.
@@ -115,6 +115,8 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from added()
                 held, size = {}, 0
     yield from added()
+    held.clear()
+    released()
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int | None = None):
@@ -152,6 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int | None = None):
                 models = [unseen.value[f] for f in part.column("fold").to_pylist()]
                 lps = [m.log_perplexity(t) if m and len(t) >= 200 else None for m, t in zip(models, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(lps, pa.float64())], names=["doc_id", "lang", "lp"])
+        released()
 
     some = docs.where("doc_id is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"), fold)
     held = some.mapInArrow(score, "doc_id long, lang string, lp double").where("lp is not null").join(ids, "doc_id", "left_semi")
@@ -192,5 +195,6 @@ def keep_rows(docs: DataFrame, labels: DataFrame, bound: int | None = None) -> D
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield part.filter(pa.array(verdict(texts, part.column("lang").to_pylist(), model)[2]))
+        released()
 
     return docs.mapInArrow(run, docs.schema)

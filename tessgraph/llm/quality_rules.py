@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, text_slices, word_arrays
+from .common import batch_of, released, text_slices, word_arrays
 
 MAX_LABELLED = 20_000
 #: Share of good labelled rows that the trees' verdict may at most reject.
@@ -179,5 +179,6 @@ def keep_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) ->
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield part.filter(pa.array(verdict(*statistics(texts), model)[2]))
+        released()
 
     return docs.mapInArrow(run, docs.schema)

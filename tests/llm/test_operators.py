@@ -325,6 +325,29 @@ def test_components(spark, bound, monkeypatch):
     assert common.components(df.limit(0)).count() == 0
 
 
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    from tessgraph.llm import common
+
+    files, real = [], common.checkpoint
+    monkeypatch.setattr(common, "checkpoint", lambda df: files.append(df.rdd.getNumPartitions()) or real(df))
+    monkeypatch.setattr(common, "ONE_TASK_EDGES", 0)
+    fixed = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        got = {(r.node, r.root) for r in common.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(1, 1), (2, 1), (3, 1)}
+    assert files and max(files) <= max(4 * spark.sparkContext.defaultParallelism, 26)
+
+
+def test_packing_plan_needs_no_python_rows(docs):
+    assert "LocalTableScan" in packing.pack(docs, 64)._jdf.queryExecution().toString()
+
+
 def test_jaccard(spark, docs, none):
     many = [" ".join(f"w{(i * 7 + j) % 97 if j % 29 == i % 29 else j}" for j in range(80)) for i in range(40)]
     more = spark.createDataFrame([(100 + i, t, None, None, None, None) for i, t in enumerate(many)], SCHEMA)
