@@ -8,12 +8,13 @@ read backwards along its path.
 
 Row contract of ``encode``: one row per input row, in place; null text is the empty text (no ids);
 repeated rows give repeated results; extra columns pass only if named in ``keep``; an empty table
-gives an empty table. Memory is bounded by ENCODE_CHARS of text (or one longer text) and CACHE_CHUNKS cached chunks.
+gives an empty table. Memory is bounded by ENCODE_CHARS of text (or one longer text), and by CACHE_CHUNKS cached chunks beside those of one slice.
 The empty token list decodes to the empty text; repeated special tokens stand for one id each.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import batch_of, text_slices, tokenizer_path
@@ -56,7 +58,6 @@ class ByteBPE:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         spec, self.vocab, self.special = vocabulary(path)
@@ -71,16 +72,18 @@ class ByteBPE:
             self.parts.setdefault(c, (a, b, rank))
         self.stable: dict[tuple[int, int], bool] = {}
         self.fits: dict[int, bool] = {}  # left << 20 | right -> leaves(left, right)
-        self.found = ahocorasick.Automaton()
-        for token, i in self.vocab.items():
-            self.found.add_word(token.decode("latin-1"), (len(token), i))
-        self.found.make_automaton()
+        # the automaton of all tokens: a node is the longest end of what was read that begins a token
+        self.nodes = [b"", *{token[:k] for token in self.vocab for k in range(1, len(token) + 1)}]
+        self.node = {b: i for i, b in enumerate(self.nodes)}
+        self.moves: dict[int, tuple[int, tuple]] = {}  # node << 8 | byte -> (next node, the tokens that end there)
         self.le = {i: i.to_bytes(4, "little") for i in self.bytes}
         self.decimal = {i: str(i) for i in self.bytes}
         self.findall = regex.compile(PATTERN).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
         self.words: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}  # what follows a space -> the ids of its chunk
+        # the same two by id, for many ids at once
+        self.written, self.read = (np.array([x.get(i) for i in range(max(x) + 1)], object) for x in (self.decimal, self.bytes))
 
     def leaves(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens would end in just these two.
@@ -114,14 +117,15 @@ class ByteBPE:
     def encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Of distinct words the ids, as little-endian 32-bit numbers.
 
-        Sorted order is the trie's depth-first order: the path of states (last token of each prefix) is cut back
-        to the prefix shared with the next word and grown by its other bytes; the ids are read backwards along it.
-        The tokens that end at a byte come from an automaton, longest first."""
-        found, fits, le, raw = self.found.iter, self.fits, self.le, self.bytes
+        Sorted order is the trie's depth-first order: the path of states (last token of each prefix, node of the automaton)
+        is cut back to the prefix shared with the next word and grown by its other bytes; the ids are read backwards along it.
+        The tokens that end at a byte come from the automaton, longest first."""
+        moves, fits, le, raw = self.moves, self.fits, self.le, self.bytes
         out: dict[bytes, bytes] = {}
-        last, before = [-1], b""
-        if len(fits) > 2_000_000:
-            fits.clear()
+        last, path, before = [-1], [0], b""
+        for x in (fits, moves):
+            if len(x) > 2_000_000:
+                x.clear()
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             if before[:most] == word[:most]:
@@ -129,21 +133,23 @@ class ByteBPE:
             else:
                 while before[shared] == word[shared]:
                     shared += 1
-            del last[shared + 1 :]
-            states = shared + 1
-            for at, (n, t) in found(word.decode("latin-1")):
-                if at + 1 < states:  # this prefix has its state
-                    continue
-                start = at + 1 - n
-                key = last[start] << 20 | t
-                ok = fits.get(key)
-                if ok is None:
-                    ok = fits[key] = self.leaves(last[start], t) if start else self.whole(t)
-                if ok:
-                    last.append(t)
-                    states += 1
-            if states <= len(word):
-                raise ValueError(f"no token ends {word[:states]!r}")
+            del last[shared + 1 :], path[shared + 1 :]
+            node = path[shared]
+            for at in range(shared, len(word)):
+                move = node << 8 | word[at]
+                node, ends = moves.get(move) or self.moved(move)
+                path.append(node)
+                for n, t in ends:
+                    start = at + 1 - n
+                    key = last[start] << 20 | t
+                    ok = fits.get(key)
+                    if ok is None:
+                        ok = fits[key] = self.leaves(last[start], t) if start else self.whole(t)
+                    if ok:
+                        last.append(t)
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[: at + 1]!r}")
             before = word
             at, ids = len(word), []
             while at:
@@ -154,6 +160,15 @@ class ByteBPE:
             out[word] = b"".join(ids)
         return out
 
+    def moved(self, move: int) -> tuple[int, tuple]:
+        """The automaton's next node after node << 8 | byte, and (length, id) of the tokens that end there, longest first."""
+        end = self.nodes[move >> 8] + bytes([move & 255])
+        while end not in self.node:
+            end = end[1:]
+        ends = (end[k:] for k in range(len(end)))
+        self.moves[move] = found = self.node[end], tuple((len(b), self.vocab[b]) for b in ends if b in self.vocab)
+        return found
+
     def whole(self, token: int) -> bool:
         """Whether merging a token's own bytes gives that token."""
         up = self.parts.get(token)
@@ -180,14 +195,24 @@ class ByteBPE:
 
     def of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
         """Of each chunk its ids, by one trie over the distinct words that are not yet known."""
-        words = {c: [w.encode() for w in self.findall(c)] for c in chunks if c not in self.special}
-        distinct = {w for ws in words.values() for w in ws}
-        if len(self.words) + len(distinct) > CACHE_CHUNKS:
-            self.words.clear()
-        ids = self.encode_words(distinct - self.words.keys())
-        ids |= {w: self.words[w] for w in distinct if w in self.words}
-        self.words.update((w, f) for w, f in ids.items() if len(w) < CACHE_CHARS)
-        out = {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in words.items()}
+        one, more = {}, {}  # chunks of one word, and of any number
+        for c in chunks:
+            if c.isascii() and (c.isalpha() or c[0] == " " and c[1:].isalpha()):
+                one[c] = c.encode()
+            elif c not in self.special:
+                more[c] = [w.encode() for w in self.findall(c)]
+        distinct = {w for ws in more.values() for w in ws}
+        distinct.update(one.values())
+        ids = self.words
+        if len(ids) + len(distinct) > CACHE_CHUNKS:
+            ids.clear()
+        new = self.encode_words(distinct - ids.keys())
+        ids.update(new)
+        out = {c: ids[w] for c, w in one.items()}
+        out.update((c, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for c, ws in more.items())
+        for w in new:
+            if len(w) >= CACHE_CHARS:
+                del ids[w]
         return out | {c: self.le[i] for c, i in self.special.items() if c in chunks}
 
     def chunks(self, text: str) -> list[str]:
@@ -196,37 +221,66 @@ class ByteBPE:
             return [c for k, part in enumerate(self.split_special(text)) if part for c in ([part] if k % 2 else CUT.split(part))]
         return CUT.split(text) if text else []
 
-    def encoded(self, texts: list[str]) -> Iterator[bytes]:
-        """Of each text its ids, as little-endian 32-bit numbers.
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text its ids. Python's search for reference cycles rests meanwhile: very many objects are made, without any."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self.looked_up(texts) if texts else []
+        finally:
+            if on:
+                gc.enable()
+
+    def looked_up(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text its ids.
 
         A text is cut at its spaces if every one lies between two characters that are not white space: then
         each is a place that no word crosses. Other texts, and texts with special tokens, are cut by chunks().
-        Chunks are looked up by what follows their space; only those not yet known are encoded."""
-        known, rows, wanted = self.known, [], set()
-        for text in texts:
-            if any(s in text for s in self.special):
-                rows.append((None, self.chunks(text)))
-                continue
-            parts = text.split(" ")
-            found = list(map(known.get, parts))
-            missing = {p for p, f in zip(parts, found) if f is None} if None in found else ()
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in (*missing, parts[0])):
-                rows.append((None, self.chunks(text)))
-            else:
-                rows.append((found, parts))
-                wanted.update(missing)
-        more = self.of_chunks({" " + p for p in wanted} | {c for found, cs in rows for c in (cs if found is None else cs[:1])})
-        if len(known) + len(wanted) > CACHE_CHUNKS:
+        Chunks are looked up by what follows their space, once for each distinct one; only those not yet known are encoded."""
+        known = self.known
+        if len(known) > CACHE_CHUNKS:
             known.clear()
-        known.update((p, more[" " + p]) for p in wanted if len(p) < CACHE_CHARS)
-        for found, cs in rows:
-            if found is None:
-                found = [more[c] for c in cs]
-            else:
-                if None in found:
-                    found = [more[" " + p] if f is None else f for f, p in zip(found, cs, strict=True)]
-                found[0] = more[cs[0]]
-            yield b"".join(found)
+        special = [any(s in t for s in self.special) for t in texts]
+        parts = pc.split_pattern(pa.array(["" if x else t for t, x in zip(texts, special, strict=True)], pa.string()), " ")
+        flat = parts.flatten().dictionary_encode()
+        at, starts = flat.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()[:-1]
+        distinct = flat.dictionary.to_pylist()
+        found = list(map(known.get, distinct))
+        missing = [i for i, f in enumerate(found) if f is None]
+        bad = np.zeros(len(distinct), bool)  # a known one is not
+        bad[[i for i in missing if not (p := distinct[i]) or p[0].isspace() or p[-1].isspace()]] = True
+        plain = ~np.logical_or.reduceat(bad[at], starts)  # "" is bad too
+        wanted = [(i, distinct[i]) for i in missing if not bad[i]]
+        # the first chunk of a text has no space before it
+        rows = [[distinct[at[start]]] if ok else self.chunks(t) for t, start, ok in zip(texts, starts.tolist(), plain.tolist(), strict=True)]
+        more = self.of_chunks({" " + p for _, p in wanted}.union(*rows))
+        for i, p in wanted:
+            found[i] = more[" " + p]
+            if len(p) < CACHE_CHARS:
+                known[p] = found[i]
+        for i in np.flatnonzero(bad).tolist():
+            found[i] = b""
+        # the texts that are not plain are one chunk here
+        found += [b"".join([more[c] for c in cs]) for cs in rows]
+        at[starts] = len(distinct) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, n = np.cumsum(sizes) - sizes, sizes[at]
+        n[~np.repeat(plain, np.diff(parts.offsets.to_numpy()))] = 0
+        n[starts] = sizes[at[starts]]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1])]
+        return np.split(ids, (ends - n)[starts[1:]])
+
+    def digested(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of its ids, and the digests of its ids in decimal and of the text decoded from them."""
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        for ids in self.encoded(texts):
+            raw = b"".join(self.read[ids].tolist())
+            try:
+                raw.decode()
+            except UnicodeDecodeError:
+                raw = raw.decode("utf-8", "replace").encode()
+            yield len(ids), sha(",".join(self.written[ids].tolist()).encode()), sha(raw)
 
     def decimals(self, ids: list[int]) -> str:
         return ",".join(map(self.decimal.__getitem__, ids))
@@ -257,7 +311,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", keep:
         bpe = loaded(path)
         for batch in batches:
             for part, texts in text_slices(batch, column, ENCODE_CHARS):
-                ids = [np.frombuffer(le, "<i4") for le in bpe.encoded(texts)]
+                ids = [x.view(np.int32) for x in bpe.encoded(texts)]
                 out = [part.column(c) for c in keep] + [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, "ids", "decoded"])
 
@@ -277,9 +331,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = loaded(path)
         for batch in batches:
             for part, texts in text_slices(batch, max_chars=ENCODE_CHARS):
-                sha = lambda b: hashlib.sha256(b).hexdigest()
-                ids = (np.frombuffer(le, "<u4").tolist() for le in bpe.encoded(texts))
-                rows = [(len(x), sha(bpe.decimals(x).encode()), sha(bpe.decode(x).encode())) for x in ids]
-                yield batch_of(DIGEST, [part.column("doc_id"), *map(list, zip(*rows, strict=True))])
+                yield batch_of(DIGEST, [part.column("doc_id"), *map(list, zip(*bpe.digested(texts), strict=True))])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

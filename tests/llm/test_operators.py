@@ -52,6 +52,26 @@ def test_bpe(docs, none, tok):
     assert bpe.digests(none).count() == 0
 
 
+def test_bpe_looks_each_distinct_chunk_up_once(tok):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    enc = bpe.ByteBPE(tokenizer_path("byte_bpe_50k.json"))
+    enc.known = Counted()
+    rng = np.random.default_rng(5)
+    some = ["the", "cat", "don't", "x9,", "", "\n", "a\nb", "é漢字", "<|endoftext|>", "12", "\u00a0", "q" * 300, "\tz"]
+    texts = ["", " ", "the", " the", "the ", *(" ".join(rng.choice(some[:4] if i % 2 else some, rng.integers(1, 30))) for i in range(200)), "the cat " * 2000 + "sat"]
+    for part in (texts, texts[::-1], texts[:1], []):  # the second one from what is known
+        before = enc.known.asked
+        assert [x.tolist() for x in enc.encoded(part)] == [tok.encode(t, add_special_tokens=False).ids for t in part]
+        assert enc.known.asked - before <= 20
+        assert [(n, b) for n, _, b in enc.digested(part)] == [(len(ids), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()) for ids in (tok.encode(t, add_special_tokens=False).ids for t in part)]
+
+
 def test_secrets(docs, none):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for r in secrets.scan(docs).collect():
